@@ -50,9 +50,13 @@ _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of other bytes than space and 0x09-0x0D, A-Z lower-cased), where they start and end, and the n+1 word offsets of the rows."""
-    inside = _WORD[data]
+#: Letters and digits: what is left when ASCII signs and controls separate words too.
+SIGNLESS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of bytes in of: by default all but space and 0x09-0x0D; A-Z lower-cased), where they start and end, and the n+1 word offsets of the rows."""
+    inside = of[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     full = offsets[1:] > offsets[:-1]
