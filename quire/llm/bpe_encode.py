@@ -264,3 +264,23 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     rows = spread(docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")))
     return rows.mapInArrow(partial(_digest, path=path), f"q_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("q_id", id_col)
+
+
+def _tokenised(batches, path: str, text: int, keep: list[int]):
+    for batch in batches:
+        ids, back = [], []
+        for _, x, raw in encode_column(batch.column(text), path):
+            ids.append(x.astype(np.int32))
+            back.append(hashlib.sha256(raw.tobytes()).hexdigest())
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([len(x) for x in ids], pa.int64()), lists, pa.array(back, pa.string())], names=[*[batch.schema.names[k] for k in keep], "n_tokens", "ids", "decoded_sha256"])
+
+
+def tokenised(docs: DataFrame, path: str, text_col: str = "text", keep=("doc_id", "lang", "source")) -> DataFrame:
+    """The columns in keep with n_tokens, ids and the digest of the bytes that the ids decode to, for every row."""
+    arrow_session(docs.sparkSession)
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
+    places = [docs.columns.index(c) for c in keep]
+    work = partial(_tokenised, path=path, text=docs.columns.index(text_col), keep=places)
+    return docs.mapInArrow(work, ", ".join([*kinds, "n_tokens long", "ids array<int>", "decoded_sha256 string"]))
