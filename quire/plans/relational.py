@@ -134,7 +134,7 @@ def content_digest(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("SELECT count(*) AS n_keys, sum(n) AS n_rows FROM (SELECT text, lang, count(*) AS n FROM documents GROUP BY text, lang)")
+@query("SELECT count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT text, lang, count(*) AS n FROM documents GROUP BY text, lang)")
 def semantic_groups(spark, sf_dir):
     """Rows with an equal semantic key are equal in the columns that count."""
     keys = A.census(_t(spark, sf_dir, "documents").select(T.content_key(F.col("text"), F.col("lang")).alias("k")), ["k"])
@@ -407,7 +407,7 @@ def issue_order(spark, sf_dir):
     return rows.distinct().orderBy("part_", "code", "detail")
 
 
-@query("SELECT l_orderkey, sum(r) AS n_columns, bool_or(e) AS edges, bool_or(i) AS inner_bars FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 2 END AS r, l_linenumber % 2 = 0 AS e, l_linenumber % 2 = 1 AS i FROM lineitem) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, CAST(sum(r) AS BIGINT) AS n_columns, bool_or(e) AS edges, bool_or(i) AS inner_bars FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 2 END AS r, l_linenumber % 2 = 0 AS e, l_linenumber % 2 = 1 AS i FROM lineitem) GROUP BY l_orderkey")
 def table_rules(spark, sf_dir):
     spec = F.when(F.col("l_linenumber") % 2 == 0, "| l c r |").otherwise("l|c")
     n, edge, inner = T.column_spec(spec)
