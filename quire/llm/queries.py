@@ -75,9 +75,44 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = f"list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _spans_sql() -> str:
+    """Spans of every rule: begin, rank and finish from the texts between matches and the matches' lengths."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for rank, rule in enumerate((*secrets.BASE, *secrets.EXTRA)):
+        p = quoted(rule.pattern)
+        parts.append(f"""SELECT doc_id, {rank} AS rank, {quoted(rule.kind)} AS kind, {rule.least} AS least, string_split_regex(t, {p}) AS a, regexp_extract_all(t, {p}, 0) AS b, regexp_extract_all(t, {p}, {rule.group}) AS c FROM d""")
+    return " UNION ALL ".join(parts)
+
+
 SQL = {
+    "op2_minhash_forest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM d),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, link.b FROM c JOIN link ON c.b = link.a),
+r AS (SELECT a, min(b) AS root FROM c GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM s JOIN r ON doc_id = a""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS head FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(k // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - k % 4 * 5 AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM f""",
     "op5_exact_dedup": f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
+    "op9_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_spans_sql()}),
+k AS (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM m WHERE len(b) > 0),
+e AS (SELECT doc_id, rank, kind, least, length(b[i]) AS size, length(c[i]) AS inner_size, CAST(list_sum(list_transform(a[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(b[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS begin_at FROM k),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+ string_agg(kind || ':' || begin_at || ':' || (begin_at + size), ',' ORDER BY begin_at, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || begin_at || ':' || (begin_at + size), ',' ORDER BY begin_at, rank) AS every
+ FROM e WHERE inner_size >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN g USING (doc_id)""",
 }
