@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions import doctex, mathtex, omml
+from quire.functions import doctex, inlines, mathtex, omml
 
 #: Output rows that are gathered before a batch is passed on.
 BATCH = 5000
@@ -140,6 +140,49 @@ def latex_blocks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return expanded(df, keys, [text], _blocks, "block_no int, kind string, level int, label int, latex string, start int, end int, warning string")
 
 
+RUN = "run_no int, kind string, text string, bold boolean, italic boolean, underline boolean, strike boolean, small_caps boolean, mono boolean, superscript boolean, subscript boolean, color string, highlight string, link string"
+
+
+def _runs(text):
+    for k, r in enumerate(inlines.runs(text or "")):
+        f = r.format
+        yield k, r.kind, r.text, f.bold, f.italic, f.underline, f.strike, f.small_caps, f.mono, f.superscript, f.subscript, f.color, f.highlight, f.link
+
+
+def latex_runs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Formatted runs of a block's text (RUN): neighbours of one format are one row."""
+    return expanded(df, keys, [text], _runs, RUN)
+
+
+def _respelled(text):
+    yield (inlines.spell(inlines.runs(text or "")),)
+
+
+def canonical_prose(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """latex: a block's text parsed and spelled again, wrappers in a fixed order."""
+    return expanded(df, keys, [text], _respelled, "latex string")
+
+
+def _items(text):
+    for i in inlines.items(text or ""):
+        yield i.number, i.label, i.text
+
+
+def list_items(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """item_no, item_label, item of a list environment's own items."""
+    return expanded(df, keys, [text], _items, "item_no int, item_label string, item string")
+
+
+def _cells(text):
+    for c in inlines.cells(text or ""):
+        yield c.row, c.number, c.grid_col, c.col_span, c.row_span, c.shading, c.text
+
+
+def table_cells(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """row_no, cell_no, grid_col, col_span, row_span, shading, cell of a tabular."""
+    return expanded(df, keys, [text], _cells, "row_no int, cell_no int, grid_col int, col_span int, row_span int, shading string, cell string")
+
+
 def _diagnostics(text, fragment):
     for d in doctex.diagnostics(text or "", fragment or "block"):
         before = (text or "")[: d.offset]

@@ -9,6 +9,9 @@ from quire.functions import doctex, mathsigns
 from quire.operators import aggregates as A
 from quire.operators import documents as D
 from quire.operators import joins as J
+from quire.operators import packages as P
+from quire.operators import verdicts as V
+from quire.sources import files, word
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -170,3 +173,55 @@ def sequence_alignment(spark, sf_dir):
     blocks = D.latex_blocks(documents(spark, sf_dir), ["doc_id"], "text").filter("kind <> 'error'").select("doc_id", "block_no", "latex")
     new = blocks.filter("block_no % 4 <> 1").withColumn("latex", F.when(F.col("block_no") % 6 == 2, F.concat("latex", F.lit("?"))).otherwise(F.col("latex")))
     return D.aligned(blocks, new, "latex", "block_no")
+
+
+def _blocks_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return D.latex_blocks(documents(spark, sf_dir), ["doc_id"], "text").filter(F.col("kind") == kind).select("doc_id", "block_no", "latex")
+
+
+@query()
+def latex_inlines(spark, sf_dir):
+    return D.latex_runs(_blocks_of(spark, sf_dir, "p"), ["doc_id", "block_no"], "latex")
+
+
+@query()
+def prose_canonical(spark, sf_dir):
+    """A block's text spelled again, and again: the second pass changes nothing."""
+    once = D.canonical_prose(_blocks_of(spark, sf_dir, "p"), ["doc_id", "block_no"], "latex")
+    twice = D.canonical_prose(once, ["doc_id", "block_no"], "latex").withColumnRenamed("latex", "again")
+    return once.join(twice, ["doc_id", "block_no"]).withColumn("stable", F.col("latex") == F.col("again"))
+
+
+@query()
+def list_items(spark, sf_dir):
+    return D.list_items(_blocks_of(spark, sf_dir, "list"), ["doc_id", "block_no"], "latex")
+
+
+@query()
+def table_cells(spark, sf_dir):
+    return D.table_cells(_blocks_of(spark, sf_dir, "table"), ["doc_id", "block_no"], "latex")
+
+
+@query()
+def word_round_trip(spark, sf_dir):
+    """Every document written as a Word package, read back and spelled as LaTeX."""
+    made = word.word_documents(documents(spark, sf_dir), ["doc_id"], "text")
+    rows = word.body_rows(files.parts(made, ["doc_id"]), ["doc_id"])
+    return word.latex(rows, ["doc_id"])
+
+
+@query()
+def package_issues(spark, sf_dir):
+    """Integrity of the written packages, one in three of them without its document part's entry."""
+    made = word.word_documents(documents(spark, sf_dir), ["doc_id"], "text")
+    parts = files.parts(made, ["doc_id"]).filter("not (doc_id % 3 = 0 and part = 'word/document.xml')")
+    types, rels, marks = files.content_types(parts, ["doc_id"]), files.relationships(parts, ["doc_id"]), files.marks(parts, ["doc_id"])
+    return P.issues(parts, types, rels, marks, ["doc_id"])
+
+
+@query()
+def math_verdicts(spark, sf_dir):
+    """Zones against a version with every fraction made a binomial."""
+    z = zones(spark, sf_dir)
+    new = z.withColumn("tex", F.replace(F.col("tex"), F.lit("\\frac"), F.lit("\\binom")))
+    return V.compare(D.math_nodes(z, ["zone_id"], "tex"), D.math_nodes(new, ["zone_id"], "tex"), "zone_id").groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
