@@ -1,4 +1,9 @@
-"""Connected components of an edge table, distributed: alternating stars after a local contraction."""
+"""Connected components of an edge table.
+
+Each task first contracts its edges to stars. If SMALL edges at most remain, one task finishes
+them; else nodes are hung on least neighbours in alternating star rounds until nothing changes,
+so no task ever holds more than a share of the edges, or SMALL of them.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
+SMALL = 200_000
+
+
 def _contract(batches):
     """Edges of one task to stars of its own union-find; memory follows the task's edges."""
     parent: dict[int, int] = {}
@@ -43,6 +51,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that an edge touches but the roots themselves; root: the component's least node."""
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     now = stage(pairs.repartition("u").mapInArrow(_contract, "u long, v long"), "cc")
+    if now.count() <= SMALL:
+        now = stage(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "cc")
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     while True:
         now = stage(_star(stage(_star(now, True), "cc"), False), "cc")

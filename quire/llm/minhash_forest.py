@@ -7,15 +7,17 @@ common prefix side by side: a run with the same first DEPTH minima is a region,
 are candidates for each other. Two sets with similarity 0.8 share a region of at least one of
 the 24 trees with probability 1 - 3e-6.
 
-Links are found in three passes, as only the components matter:
+Links are found in two passes, as only the components matter:
 
-1. neighbours in the sorted orders; every class offers the neighbour with the highest estimate;
-2. within regions, the best pair between any two components that are still apart;
-3. all remaining pairs of regions whose classes are in different components.
+1. neighbours in the sorted orders: every class offers the neighbour with the highest estimate,
+   and these pairs are confirmed on their full sets;
+2. within regions, pairs of classes in different components whose estimate is not more than five
+   deviations under the threshold join their components into families; the full sets of a family
+   meet in one task, which checks every pair of its classes in different components.
 
 A region with more than REGION classes is read one minimum deeper, up to DEEPEST, then cut into
-blocks that are compared pairwise: nothing is dropped. Signature estimates under the threshold
-less five deviations are skipped; every other candidate is confirmed on its full sets.
+blocks that are compared pairwise, and so is a family: nothing is dropped, and no task holds more
+than REGION classes.
 
 Defined results: null, empty and blank texts have an empty set and no link; a null id is linked
 with nothing and stays (component_id null); rows that share an id are judged each by its own
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, blocks, spread, stage, text_bytes
+from .common import BLOOM, arrow_session, blocks, settings, spread, stage, text_bytes
 from .components import components
 from .texthash import _splitmix, mix, shingle_sets
 
@@ -132,28 +134,90 @@ def _groups(batches):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _region_pairs(batches, least: float, best: bool):
-    """Sorted rows (key, rep, label, marks, side): pairs of different labels; of each two labels only the best if asked for. side: -1, or the block of a cut region."""
+def _joined(labels: np.ndarray):
+    """Union-find over the labels of a group: root of a place, and a join of two places."""
+    names, at = np.unique(labels, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def roots() -> np.ndarray:
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent[:] = up
+        return parent[at]
+
+    def join(i: int, j: int) -> None:
+        r = roots()
+        parent[max(r[i], r[j])] = min(r[i], r[j])
+
+    return roots, join
+
+
+def _candidates(batches, least: float):
+    """Sorted rows (key, rep, label, marks, side) of regions: pairs of labels, as few as join all that have a pair of classes with a good estimate. side: -1, or the block of a cut region."""
     for g in _groups(batches):
-        rep, label, marks, side = g.column(1).to_numpy(), g.column(2).to_numpy(), _marks(g.column(3)), g.column(4).to_numpy()
-        a, b, score = [], [], []
-        for i in range(len(rep) - 1):
-            j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
+        label = g.column(2).to_numpy()
+        if (label == label[0]).all():
+            continue
+        marks, side = _marks(g.column(3)), g.column(4).to_numpy()
+        roots, join = _joined(label)
+        root, a, b = roots(), [], []
+        for i in range(len(label) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
+            if len(j):
+                j = j[_estimate(marks[i], marks[j]) >= least]
+                _, first = np.unique(root[j], return_index=True)
+                for k in j[first]:
+                    a.append(label[i])
+                    b.append(label[k])
+                    join(i, int(k))
+                if len(j):
+                    root = roots()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+#: Bytes of the bit matrix that is worked on at once.
+BITS = 32 << 20
+
+
+def _shared(sets: list[np.ndarray]):
+    """Rows of bits over the shingles that more than one set has, in parts of at most BITS bytes."""
+    every = np.concatenate(sets)
+    names, count = np.unique(every, return_counts=True)
+    names = names[count > 1]
+    step = max(64, BITS * 8 // len(sets) // 64 * 64)
+    for at in range(0, len(names), step):
+        some = names[at : at + step]
+        bits = np.zeros((len(sets), -(-len(some) // 64) * 64), bool)
+        for k, s in enumerate(sets):
+            place = np.minimum(np.searchsorted(some, s), len(some) - 1)
+            bits[k, place[some[place] == s]] = True
+        yield np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _family_links(batches, words: int, percent: int):
+    """Sorted rows (key, rep, label, text, side) of families: links between classes of different labels, as few as join all that are similar."""
+    for g in _groups(batches):
+        rep, label, side = g.column(1).to_numpy(), g.column(2).to_numpy(), g.column(4).to_numpy()
+        data, offsets = text_bytes(g.column(3))
+        sets = [s for a, b in blocks(offsets) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)]
+        size = np.array([len(s) for s in sets])
+        both = np.zeros((len(sets), len(sets)), np.int32)
+        for bits in _shared(sets):
+            for i in range(len(sets) - 1):
+                both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int32)
+        roots, join = _joined(label)
+        root, a, b = roots(), [], []
+        for i in range(len(sets) - 1):
+            common = both[i, i + 1 :]
+            good = (common > 0) & (100 * common >= percent * (size[i] + size[i + 1 :] - common)) & (root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
+            j = i + 1 + np.flatnonzero(good)
+            _, first = np.unique(root[j], return_index=True)
+            for k in j[first]:
+                a.append(rep[i])
+                b.append(rep[k])
+                join(i, int(k))
             if len(j):
-                s = _estimate(marks[i], marks[j])
-                j, s = j[s >= least], s[s >= least]
-                a += [i] * len(j)
-                b += j.tolist()
-                score += s.tolist()
-        if best and a:
-            top: dict[tuple[int, int], tuple[float, int]] = {}
-            for k, (i, j) in enumerate(zip(a, b, strict=True)):
-                pair = (min(label[i], label[j]), max(label[i], label[j]))
-                top[pair] = max(top.get(pair, (-1.0, -1)), (score[k], k))
-            chosen = [k for _, k in top.values()]
-            a, b, score = [a[k] for k in chosen], [b[k] for k in chosen], [score[k] for k in chosen]
-        x, y = rep[a] if a else rep[:0], rep[b] if b else rep[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(score, pa.float64())], names=["a", "b", "score"])
+                root = roots()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def _confirm(batches, words: int, percent: int):
@@ -168,35 +232,43 @@ def _confirm(batches, words: int, percent: int):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def _labelled(links: DataFrame | None, rows: DataFrame, id_col: str) -> DataFrame:
+def _labelled(links: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """rows with their label: the component's root so far, or the class itself."""
-    if links is None:
-        return rows.withColumn("label", F.col(id_col))
     return rows.join(links.select(F.col("node").alias(id_col), "root"), id_col, "left").withColumn("label", F.coalesce("root", id_col)).drop("root")
 
 
+def _blocked(big: DataFrame, *keep: str) -> list[DataFrame]:
+    """Rows of groups (key, of m rows) with more than REGION rows to keys of each two blocks, and of each block."""
+    big = big.withColumn("nb", F.ceil(F.col("m") / (REGION // 2)).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    inner = big.select(F.xxhash64("key", "side", "side").alias("key"), "rep", "label", *keep, F.lit(-1).alias("side"))
+    other = big.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("o <> side")
+    return [inner, other.select(F.xxhash64("key", F.least("o", "side"), F.greatest("o", "side")).alias("key"), "rep", "label", *keep, "side")]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def _cut(rows: DataFrame) -> DataFrame:
-    """Rows (prefix, tail, rep, label, marks) of regions to rows (key, rep, label, marks, side), at most about REGION of a key, two blocks at most."""
+    """Rows (prefix, tail, rep, label, marks) of regions to rows (key, rep, label, marks, side), at most about REGION of a key."""
     rest, done = rows.withColumn("key", F.col("prefix")), []
     for depth in range(DEPTH, DEEPEST + 1):
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("m > 1 and l0 <> l1").select("key", "m")
-        sized = rest.join(sizes, "key")
-        done.append(sized.filter(F.col("m") <= REGION).select("key", "rep", "label", "marks", F.lit(-1).alias("side")))
-        big = sized.filter(F.col("m") > REGION)
-        if sizes.filter(F.col("m") > REGION).isEmpty():
+        big = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("m") > REGION)
+        big = stage(big, "mh-sizes")
+        none = big.isEmpty()
+        small = rest if none else rest.join(big.select("key"), "key", "left_anti")
+        done.append(small.select("key", "rep", "label", "marks", F.lit(-1).alias("side")))
+        if none:
             break
-        if depth < DEEPEST:
-            rest = big.drop("m").withColumn("key", F.xxhash64("prefix", F.expr(f"substring(tail, 1, {4 * (depth + 1 - DEPTH)})")))
-            continue
-        half = REGION // 2
-        big = big.withColumn("nb", F.ceil(F.col("m") / half).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        inner = big.select(F.xxhash64("key", "side", "side").alias("key"), "rep", "label", "marks", F.lit(-1).alias("side"))
-        other = big.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("o <> side")
-        done += [inner, other.select(F.xxhash64("key", F.least("o", "side"), F.greatest("o", "side")).alias("key"), "rep", "label", "marks", "side")]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        sized = rest.join(big.filter("l0 <> l1").select("key", "m"), "key")
+        if depth == DEEPEST:
+            done += _blocked(sized, "marks")
+        else:
+            rest = sized.drop("m").withColumn("key", F.xxhash64("prefix", F.expr(f"substring(tail, 1, {4 * (depth + 1 - DEPTH)})")))
+    return _union(done)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +279,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     source = docs.select(F.col(id_col).cast("long").alias("q_id"), F.col(text_col).alias("q_text"))
     signed = stage(spread(source).mapInArrow(partial(_sign, words=words), SIGNED), "mh-signed")
     members = signed.filter("n > 0 and q_id is not null")
-    reps = members.groupBy("class").agg(F.min("q_id").alias("rep"))
+    reps = stage(members.groupBy("class").agg(F.min("q_id").alias("rep")), "mh-reps")
     classes = members.join(reps.withColumnRenamed("class", "r_class"), (F.col("class") == F.col("r_class")) & (F.col("q_id") == F.col("rep"))).select("rep", "class", "sig")
     classes = stage(classes, "mh-classes")
 
@@ -222,32 +294,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     offers = near.select(F.col("a").alias("x"), "a", "b", "score").unionByName(near.select(F.col("b").alias("x"), "a", "b", "score"))
     first = offers.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
-    touched = regions.select("rep").distinct()
-    texts = stage(source.join(touched, F.col("q_id") == F.col("rep")).select("rep", "q_text"), "mh-texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("rep").alias("a"), F.col("q_text").alias("ta"))
-        two = texts.select(F.col("rep").alias("b"), F.col("q_text").alias("tb"))
-        return stage(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(partial(_confirm, words=words, percent=percent), "a long, b long").distinct(), "mh-links")
+    touched = stage(regions.groupBy("rep").agg(F.count(F.lit(1)).alias("m")), "mh-touched")
+    with settings(spark, BLOOM):
+        texts = stage(source.join(touched.filter("m > 0"), F.col("q_id") == F.col("rep")).select("rep", "q_text"), "mh-texts")
 
-    tried = stage(first, "mh-tried")
-    good = confirmed(tried)
+    one = texts.select(F.col("rep").alias("a"), F.col("q_text").alias("ta"))
+    two = texts.select(F.col("rep").alias("b"), F.col("q_text").alias("tb"))
+    both = first.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    good = stage(both.mapInArrow(partial(_confirm, words=words, percent=percent), "a long, b long"), "mh-links")
     roots = components(good, "a", "b")
-    for best in (True, False):
-        rows = _cut(_labelled(roots, regions, "rep")).repartition("key").sortWithinPartitions("key")
-        pairs = rows.mapInArrow(partial(_region_pairs, least=least, best=best), "a long, b long, score double")
-        pairs = pairs.groupBy("a", "b").agg(F.max("score").alias("score")).join(tried, ["a", "b"], "left_anti")
-        if best:
-            both = _labelled(roots, _labelled(roots, pairs, "a").withColumnRenamed("label", "la"), "b").withColumnRenamed("label", "lb")
-            pairs = both.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.*")
-        pairs = stage(pairs.select("a", "b"), "mh-pairs")
-        if pairs.isEmpty():
-            break
-        more = confirmed(pairs)
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            good = good.unionByName(more)
-            roots = components(good, "a", "b")
+
+    rows = _cut(stage(_labelled(roots, regions, "rep"), "mh-labelled")).repartition("key").sortWithinPartitions("key")
+    pairs = stage(rows.mapInArrow(partial(_candidates, least=least), "a long, b long").distinct(), "mh-candidates")
+    family = components(pairs, "a", "b")
+    family = stage(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("label"), F.col("root").alias("key")), "mh-families")
+    members = stage(_labelled(roots, touched.select("rep"), "rep").join(family, "label").select("key", "rep", "label"), "mh-members")
+    sizes = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "mh-sizes")
+    sized = members.join(sizes, "key")
+    parts = [sized.filter(F.col("m") <= REGION).select("key", "rep", "label", F.lit(-1).alias("side"))]
+    if not sizes.filter(F.col("m") > REGION).isEmpty():
+        parts += _blocked(sized.filter(F.col("m") > REGION))
+    rows = _union(parts).join(texts, "rep").select("key", "rep", "label", "q_text", "side").repartition("key").sortWithinPartitions("key")
+    more = stage(rows.mapInArrow(partial(_family_links, words=words, percent=percent), "a long, b long"), "mh-links")
+    if not more.isEmpty():
+        roots = components(good.unionByName(more), "a", "b")
     classed = signed.join(reps, "class", "left").select("q_id", "n", "class", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     return classed, roots
 
