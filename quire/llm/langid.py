@@ -9,8 +9,8 @@ where a 4-gram is new. The language with the lowest cross-entropy per character
 it is rejected where that entropy is beyond what the language's own texts show.
 
 Documented bounds of the model: at most LANGUAGES languages and GRAMS 4-grams of each, the most
-frequent ones (ties: by name, by key); rejection is calibrated on at most SAMPLE training rows
-of the lowest hashes. Counts cover every training row.
+frequent ones (ties: by name, by key); rejection is calibrated on about SAMPLE training rows,
+those whose hashed id is under the share that gives so many. Counts cover every training row.
 
 Defined results: null text or text without a letter: ``und``, score 0, rejected. Without any
 training row all is ``und``. Ties go to the first language by name. Repeated rows are judged row
@@ -52,7 +52,7 @@ def symbols(column: pa.Array):
 
     A row's symbols are its letters, lower-cased, with single blanks for all between; START stands before it."""
     data, offsets = text_bytes(pc.utf8_lower(column.fill_null("")))
-    for a, b in blocks(offsets, 1 << 20):
+    for a, b in blocks(offsets, 1 << 19):
         part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         codes = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
         chars = np.zeros(len(part) + 1, np.int64)
@@ -220,7 +220,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         counts[lang] = keys[order], got.column(1).to_numpy()[order]
     model = Model.fit(counts)
     if langs:
-        some = rows.filter(F.col("q_lang").isin(langs)).withColumn("h", F.xxhash64("q_id")).orderBy("h", "q_id").limit(SAMPLE).select("q_lang", "q_text")
+        some = rows.filter(F.col("q_lang").isin(langs))
+        share = min(1.0, SAMPLE / max(1, some.count()))
+        some = some.filter(F.pmod(F.xxhash64("q_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("q_lang", "q_text")
         calibrate(model, some.mapInArrow(partial(_entropies, model=model), "lang string, h double, n long").toArrow())
     return model
 
