@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_session, spread, text_bytes
 from .pretokens import text_blocks
 
-HELD = 600_000
+HELD = 300_000
 
 
 def byte_signs() -> dict[str, int]:

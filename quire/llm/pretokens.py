@@ -84,7 +84,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray):
     return words, inverse, before[edges]
 
 
-def text_blocks(column: pa.Array, split: str | None = None, limit: int = 1 << 21):
+def text_blocks(column: pa.Array, split: str | None = None, limit: int = 1 << 19):
     """For blocks of rows: (rows of the block, pretokens of its texts, text number to row number, splits of each row).
 
     With split, texts are first divided at that string, as a library divides at a special token."""
