@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, stage
 
 
 @dataclass(frozen=True)
@@ -101,10 +101,10 @@ class BlobLedger:
             every = F.array_sort(F.concat(*found)) if len(found) > 1 else found[0]
             texts = texts.withColumn(f"h_{v}", F.when(F.array_contains("todo", v), every))
         pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("rule_version"), F.col(f"h_{v}").alias("hits")) for v in versions]))
-        texts.select("blob", pairs.alias("p")).select("blob", "p.hits", "p.rule_version").filter("hits is not null").write.mode("append").parquet(self.path)
+        texts.select("blob", pairs.alias("p")).select("blob", "p.hits", "p.rule_version").filter("hits is not null").dropDuplicates(["blob", "rule_version"]).write.mode("append").parquet(self.path)
         every = F.array_sort(F.flatten(F.collect_set("hits")))
         by_blob = self.seen().filter(F.col("rule_version").isin(list(versions))).groupBy("blob").agg(every.alias("hits"))
-        return paths.join(by_blob, "blob").select(F.col("q_id").alias(id_col), "blob", "hits")
+        return paths.join(stage(by_blob, "blob-hits"), "blob").select(F.col("q_id").alias(id_col), "blob", "hits")
 
 
 def joined(hits: Column) -> Column:
