@@ -21,16 +21,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, new_path, stage
+from .common import BLOOM, lower_ascii, new_path, settings, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition reserves megabytes for its logs
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
-
 def sha256(col: Column) -> Column:
     return F.sha2(col, 256)
 
@@ -43,10 +43,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
 def feed(rows: DataFrame, path: str, checkpoint: str, ledger: str, per_trigger: int) -> None:
     """Runs every file under path through the keyed state once; each micro-batch appends the keys it changed to ledger."""
     spark = rows.sparkSession
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    for k, v in STATE_CONF.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, STATE_CONF):
         seen = (
             spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", str(per_trigger)).parquet(path)
             .groupBy("q_digest")
@@ -57,9 +54,6 @@ def feed(rows: DataFrame, path: str, checkpoint: str, ledger: str, per_trigger:
             batch.select("q_digest", F.col("top.q_id").alias("q_keep"), F.col("top.q_locator").alias("q_locator"), "q_size").write.mode("overwrite").parquet(f"{ledger}/q_batch={number}")
 
         seen.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(changed).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _ledger(docs: DataFrame, id_col: str, text_col: str, digest, per_trigger: int) -> tuple[DataFrame, DataFrame]:
@@ -78,12 +72,19 @@ def _ledger(docs: DataFrame, id_col: str, text_col: str, digest, per_trigger: in
     return rows, stage(last, "dedup-last")
 
 
-def _collisions(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+def _collisions(docs: DataFrame, rows: DataFrame, state: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """Digests under which texts of different bytes lie: each hit is compared in full with the row that stays."""
-    keyed = _keyed(docs, id_col, text_col, digest)
-    hits = keyed.join(state.filter("q_size > 1").select("q_digest", "q_keep"), "q_digest")
+    several = rows.select("q_id", "q_digest").join(state.filter("q_size > 1"), "q_digest")
+    several = stage(several.select(F.col("q_id").alias("h_id"), F.col("q_digest").alias("h_digest"), "q_keep", "q_size").distinct(), "dedup-several").filter("q_size > 1")
+    texts = docs.select(F.col(id_col).alias("q_id"), F.coalesce(F.col(text_col), F.lit("")).alias("q_text"))
+    same = digest(lower_ascii(F.col("q_text"))) == F.col("h_digest")
+    named = texts.join(several.filter("h_id is not null"), F.col("q_id") == F.col("h_id"))
+    unnamed = texts.filter("q_id is null").join(several.filter("h_id is null"), same)
+    with settings(docs.sparkSession, BLOOM):  # by id alone: digests are then taken of the few texts that come through
+        hits = stage(named.unionByName(unnamed).select("q_id", "q_text", "h_digest", "q_keep"), "dedup-hits")
+    hits = hits.filter(same).withColumnRenamed("h_digest", "q_digest")
     stays = hits.filter(F.col("q_id").eqNullSafe(F.col("q_keep"))).groupBy("q_digest").agg(F.max("q_text").alias("s_text"))
-    rest = hits.join(stays, "q_digest")
+    rest = hits.join(stage(stays, "dedup-stays"), "q_digest")
     differs = (F.col("q_text") != F.col("s_text")) & (lower_ascii(F.col("q_text")) != lower_ascii(F.col("s_text")))
     return stage(rest.filter(differs).select("q_digest").distinct(), "dedup-collisions")
 
@@ -91,7 +92,7 @@ def _collisions(docs: DataFrame, state: DataFrame, id_col: str, text_col: str, d
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, per_trigger: int = 1 << 29) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_digest."""
     rows, state = _ledger(docs, id_col, text_col, digest, per_trigger)
-    mixed = _collisions(docs, state, id_col, text_col, digest)
+    mixed = _collisions(docs, rows, state, id_col, text_col, digest)
     kept = F.col("q_id").eqNullSafe(F.col("q_keep"))
     out = rows.join(state, "q_digest")
     if not mixed.isEmpty():
