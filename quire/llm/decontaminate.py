@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 The benchmark is the stated query set; it is taken in blocks of bounded bytes, each block small
-enough to go to every task. For a block, one pass over all documents counts in how many each of
-its word n-grams occurs. Of the n-grams that occur at all, an item's rarer half are its seeds,
-by rank, so a passage that leaked into very many documents keeps seeds as any other. A second
-pass finds the seeds, joins the passage around them to the item, and aligns the two locally: a
-match counts 1, a mismatch or gap -1, and the score is the best alignment's sum over the item's
-words. No corpus row is shuffled or collected.
+enough to go to every task. All word n-grams of an item are its seeds, however often they occur,
+so what is found in a document doesn't depend on the others. One pass over the documents finds
+the seeds, joins the passage around them to the item, and aligns the two locally: a match counts
+1, a mismatch or gap -1, and the score is the best alignment's sum over the item's words. A
+passage with fewer words of the item than the least sum can't reach it and isn't aligned. No
+corpus row is shuffled or collected.
 
 Words are runs of letters and digits, lower-cased, so changed case and signs don't matter.
 
@@ -61,18 +61,6 @@ class Items:
         order = np.argsort(keys, kind="stable")
         return cls([r[0] for r in rows], own, keys[order], item[order].astype(np.int64), place[order].astype(np.int64))
 
-    def seeds(self, df: dict[int, int]) -> Items:
-        """Only the rarer half of each item's n-grams that occur in the corpus."""
-        count = np.array([df.get(int(k), 0) for k in self.keys.view(np.int64)], np.int64)
-        keep = np.zeros(len(self.keys), bool)
-        order = np.lexsort((self.keys, count, self.item))
-        order = order[count[order] > 0]
-        owner = self.item[order]
-        cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1), len(owner)] if len(owner) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            keep[order[a : a + max(4, -(-(b - a) // 2))][: b - a]] = True
-        return Items(self.ids, self.words, self.keys[keep], self.item[keep], self.place[keep])
-
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows, and the n+1 offsets of the rows in them."""
@@ -102,23 +90,6 @@ def _found(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, some), len(keys) - 1)] == some
 
 
-def _count(batches, items: Items):
-    """(n-gram, number of texts of this task that hold it)."""
-    keys = np.unique(items.keys)
-    total = np.zeros(len(keys), np.int64)
-    for batch in batches:
-        for column in _parts(batch.column(0)):
-            hashes, rows = _words(column)
-            for size in _sizes(items):
-                g, at = _grams(hashes, rows, size)
-                hit = _found(keys, g)
-                owner = np.searchsorted(rows, at[hit], side="right")
-                pairs = np.unique(owner * len(keys) + np.searchsorted(keys, g[hit]))
-                total += np.bincount(pairs % max(1, len(keys)), minlength=len(keys))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-
 def _parts(column: pa.Array):
     _, offsets = text_bytes(column)
     for a, b in blocks(offsets):
@@ -183,12 +154,19 @@ def _passages(hashes: np.ndarray, rows: np.ndarray, seeds: Items):
         yield t, i, first, min(int(rows[t + 1]), int(diagonal[b - 1] + length[i] + slack[a])), b - a
 
 
+def _enough(passage: tuple, hashes: np.ndarray, items: Items, least: float) -> bool:
+    """Whether the passage has as many words of its item as the least sum: an alignment's sum is at most its matches."""
+    own, window = items.words[passage[1]], hashes[passage[2] : passage[3]]
+    most = min(len(own), int(np.isin(window, own).sum()))
+    return most / len(own) >= least and most >= min(LEAST_WORDS, len(own))
+
+
 def _hits(column: pa.Array, seeds: Items, least: float):
     """(row, item, score, seeds, first word, end word) of the contaminated rows: the best passage of each row and item."""
     start = 0
     for part in _parts(column):
         hashes, rows = _words(part)
-        found = list(_passages(hashes, rows, seeds))
+        found = [x for x in _passages(hashes, rows, seeds) if _enough(x, hashes, seeds, least)]
         found.sort(key=lambda x: (len(seeds.words[x[1]]), x[3] - x[2]))
         best: dict[tuple[int, int], tuple] = {}
         for at in range(0, len(found), 128):
@@ -219,15 +197,13 @@ def _clean(batches, seeds: Items, least: float, text: int):
         yield batch.filter(pa.array(keep))
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str):
-    """Blocks of the benchmark with their seeds, after a count over all documents."""
-    arrow_session(docs.sparkSession)
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str):
+    """Blocks of the benchmark."""
+    arrow_session(benchmark.sparkSession)
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK))
     for k in range(n):
-        block = Items.of([tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()])
-        counted = spread(docs.select(F.col(text_col).alias("q_text"))).mapInArrow(partial(_count, items=block), "gram long, n long")
-        yield block.seeds({r[0]: r[1] for r in counted.groupBy("gram").agg(F.sum("n")).collect()})
+        yield Items.of([tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
@@ -237,7 +213,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     schema, out = f"q_id {kinds[0]}, item_id {kinds[1].simpleString()}, score double, n_seeds long, window_start long, match_end long", None
     rows = spread(docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")))
-    for seeds in _seeded(docs, benchmark, text_col, item_id, item_text):
+    for seeds in _blocks(benchmark, item_id, item_text):
         part = rows.mapInArrow(partial(_report, seeds=seeds, least=least, item_kind=to_arrow_type(kinds[1])), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("q_id", id_col)
@@ -247,6 +223,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     """The documents without a contaminated passage, all columns as they are."""
     at = docs.columns.index(text_col)
     out = docs
-    for seeds in _seeded(docs, benchmark, text_col, item_id, item_text):
+    for seeds in _blocks(benchmark, item_id, item_text):
         out = out.mapInArrow(partial(_clean, seeds=seeds, least=least, text=at), out.schema)
     return out

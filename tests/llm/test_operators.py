@@ -139,6 +139,17 @@ def test_decontamination(spark, odd, docs):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_partial_leaks(spark):
+    """One half of an item in many documents, the other in few: each is found, whatever else is in the table."""
+    item = [f"word{k}" for k in range(40)]
+    halves = " ".join(item[:20]), " ".join(item[20:])
+    rows = [(k, f"before {halves[0]} after") for k in range(30)] + [(100 + k, f"before {halves[1]} after") for k in range(2)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.find(df, bench).collect()}
+    assert got == {k: 0.5 for k, _ in rows}
+    assert decontaminate.clean(df, bench).count() == 0 and decontaminate.clean(df.filter("doc_id < 100"), bench).count() == 0
+
+
 def test_decontamination_finds_all_verbatim(spark, sf_dir, docs):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = {(i, b) for i, t in texts_of(docs) for b, x in ((r["item_id"], r["text"]) for r in bench.collect()) if x in (t or "")}
