@@ -2,15 +2,15 @@
 
 Each language has counts of character 4-grams over all its training rows (letters lower-cased,
 all else a blank). Continuation counts of the 4-grams give the lower orders, and every order is
-interpolated with the next. The n-grams of all languages stand in one sorted array of 64-bit
-keys per order, with a column of log-probabilities per language and the back-off weights of the
-contexts beside them, so a text costs one binary search per character and looks further only
-where a 4-gram is new. The language with the lowest cross-entropy per character is chosen, and
+interpolated with the next. A language's n-grams stand in a sorted array of 64-bit keys per
+order, with their log-probabilities and the back-off weights of the contexts beside them. A block
+of texts looks up each of its different 4-grams once per language, and looks further only where
+one is new. The language with the lowest cross-entropy per character is chosen, and
 it is rejected where that entropy is beyond what the language's own texts show.
 
-Documented bounds of the model: at most LANGUAGES languages and GRAMS 4-grams of each, the most
-frequent ones (ties: by name, by key); rejection is calibrated on about SAMPLE training rows,
-those whose hashed id is under the share that gives so many. Counts cover every training row.
+The model has all languages and all 4-grams of the training rows, so its memory grows with the
+number of different 4-grams by language. Documented bound: rejection is calibrated on about
+SAMPLE training rows, those whose hashed id is under the share that gives so many.
 
 Defined results: null text or text without a letter: ``und``, score 0, rejected. Without any
 training row all is ``und``. Ties go to the first language by name. Repeated rows are judged row
@@ -32,7 +32,9 @@ from .common import arrow_session, blocks, spread, stage, text_bytes
 from .pretokens import LETTER, char_classes
 
 ORDER = 4
-LANGUAGES, GRAMS, SAMPLE = 64, 150_000, 6000
+SAMPLE = 6000
+#: Counted 4-grams that are brought to the driver at once.
+COLLECTED = 4_000_000
 #: A text is accepted up to so many deviations over its language's mean entropy, and, as short texts vary more, a share of 1 / sqrt(characters).
 #: Texts of two languages stay within this; texts of other languages are several nats over the mean.
 DEVIATIONS, NOISE = 20.0, 15.0
@@ -113,13 +115,13 @@ def _find(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """keys[k], logs[k]: sorted (k+1)-grams and log-probabilities by language; contexts, weights: back-off weights of contexts by order."""
+    """Of each language: keys[k], logs[k]: its sorted (k+1)-grams and their log-probabilities; contexts[k], weights[k]: back-off weights of its contexts by order; floor: log-probability of a new sign."""
 
     langs: list[str]
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
+    keys: list[list[np.ndarray]]
+    logs: list[list[np.ndarray]]
+    contexts: list[list[np.ndarray]]
+    weights: list[list[np.ndarray]]
     floor: np.ndarray
     mean: np.ndarray | None = None
     deviation: np.ndarray | None = None
@@ -128,63 +130,62 @@ class Model:
     def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         """counts: sorted 4-grams and their numbers, by language."""
         langs = sorted(counts)
-        alphabet = len(np.unique(np.concatenate([k & _LOW for k, _ in counts.values()]))) + 1 if langs else 1
-        own = []
+        alphabet = len(np.unique(np.concatenate([np.unique(k & _LOW) for k, _ in counts.values()]))) + 1 if langs else 1
+        model = cls(langs, [], [], [], [], np.zeros(len(langs), np.float32))
         for lang in langs:
             keys, n = counts[lang]
             orders = [(keys, n.astype(np.float64))]
             for k in range(ORDER - 1, 0, -1):
                 mask = np.uint64((1 << (16 * k)) - 1)
                 orders.append(tuple(x if i == 0 else x.astype(np.float64) for i, x in enumerate(np.unique(orders[-1][0] & mask, return_counts=True))))
-            own.append(orders[::-1])
-        keys = [np.unique(np.concatenate([o[k][0] for o in own])) if own else np.zeros(0, np.uint64) for k in range(ORDER)]
-        contexts = [np.unique(np.concatenate([o[k][0] >> np.uint64(16) for o in own])) if own else np.zeros(0, np.uint64) for k in range(ORDER)]
-        probs = [np.zeros((len(k), len(langs))) for k in keys]
-        weights = [np.ones((len(c), len(langs))) for c in contexts]
-        for column, orders in enumerate(own):
-            lower = np.full(len(keys[0]), 1 / alphabet)
-            for k in range(ORDER):
-                grams, n = orders[k]
+            orders, probs, contexts, weights = orders[::-1], [], [], []
+            for k, (grams, n) in enumerate(orders):
                 ones, twos = (n == 1).sum(), (n == 2).sum()
                 discount = ones / (ones + 2 * twos) if ones and twos else 0.5
                 ctx, where = np.unique(grams >> np.uint64(16), return_inverse=True)
                 total, kinds = np.bincount(where, n), np.bincount(where)
-                at = _find(contexts[k], ctx)
-                weights[k][at, column] = discount * kinds / total
-                if k:
-                    shorter = _find(keys[k - 1], keys[k] & np.uint64((1 << (16 * k)) - 1))
-                    lower = probs[k - 1][shorter, column]
-                    lower = np.where(shorter >= 0, lower, weights[0][0, column] / alphabet)
-                p = weights[k][_find(contexts[k], keys[k] >> np.uint64(16)), column] * lower
-                p[_find(keys[k], grams)] += np.maximum(n - discount, 0) / total[where]
-                probs[k][:, column] = p
-        floor = np.log(weights[0][0] / alphabet) if langs else np.zeros(0)
-        return cls(langs, keys, [np.log(p).astype(np.float32) for p in probs], contexts, [np.log(w).astype(np.float32) for w in weights], floor.astype(np.float32))
-
-    def _logs(self, key: np.ndarray, k: int = ORDER - 1) -> np.ndarray:
-        """Log-probabilities of the last symbol after the k before it, by language."""
-        at = _find(self.keys[k], key)
-        out = self.logs[k][at]
+                weight = discount * kinds / total
+                lower = probs[k - 1][np.searchsorted(orders[k - 1][0], grams & np.uint64((1 << (16 * k)) - 1))] if k else 1 / alphabet
+                probs.append(weight[where] * lower + np.maximum(n - discount, 0) / total[where])
+                contexts.append(ctx)
+                weights.append(weight)
+            model.floor[len(model.keys)] = np.log(weights[0][0] / alphabet)
+            model.keys.append([g for g, _ in orders])
+            model.logs.append([np.log(p).astype(np.float32) for p in probs])
+            model.contexts.append(contexts)
+            model.weights.append([np.log(w).astype(np.float32) for w in weights])
+        return model
+
+    def _log(self, key: np.ndarray, lang: int, k: int = ORDER - 1) -> np.ndarray:
+        """Log-probabilities of the last symbol after the k before it, in one language."""
+        at = _find(self.keys[lang][k], key)
+        out = self.logs[lang][k][at]
         new = np.flatnonzero(at < 0)
         if len(new):
             if k:
-                shorter = self._logs(key[new] & np.uint64((1 << (16 * k)) - 1), k - 1)
-                ctx = _find(self.contexts[k], key[new] >> np.uint64(16))
-                out[new] = shorter + np.where(ctx[:, None] >= 0, self.weights[k][ctx], np.float32(0))
+                shorter = self._log(key[new] & np.uint64((1 << (16 * k)) - 1), lang, k - 1)
+                ctx = _find(self.contexts[lang][k], key[new] >> np.uint64(16))
+                out[new] = shorter + np.where(ctx >= 0, self.weights[lang][k][ctx], np.float32(0))
             else:
-                out[new] = self.floor
+                out[new] = self.floor[lang]
         return out
 
-    def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every text: cross-entropy per character by language, number of characters, whether it has a letter."""
-        h, n, ok = np.zeros((len(column), len(self.langs))), np.zeros(len(column), np.int64), np.zeros(len(column), bool)
+    def _logs(self, key: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the last symbol after the ones before it, by language."""
+        return np.stack([self._log(key, lang) for lang in range(len(self.langs))], axis=1)
+
+    def entropies(self, column: pa.Array, langs: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every text: cross-entropy per character by language (all, or those of langs), number of characters, whether it has a letter."""
+        langs = list(range(len(self.langs))) if langs is None else langs
+        h, n, ok = np.zeros((len(column), len(langs))), np.zeros(len(column), np.int64), np.zeros(len(column), bool)
         for a, key, at, has in symbols(column):
-            sums = np.zeros((len(key) + 1, len(self.langs)))
-            if len(key) and self.langs:
-                np.cumsum(self._logs(key), axis=0, dtype=np.float64, out=sums[1:])
             b = a + len(at) - 1
             n[a:b], ok[a:b] = np.diff(at), has
-            h[a:b] = (sums[at[:-1]] - sums[at[1:]]) / np.maximum(1, np.diff(at))[:, None]
+            some, where = np.unique(key, return_inverse=True)
+            sums = np.zeros(len(key) + 1)
+            for j, lang in enumerate(langs):
+                np.cumsum(self._log(some, lang)[where], dtype=np.float64, out=sums[1:])
+                h[a:b, j] = (sums[at[:-1]] - sums[at[1:]]) / np.maximum(1, np.diff(at))
         return h, n, ok
 
     def predict(self, column: pa.Array):
@@ -211,22 +212,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("q_lang"), F.col(text_col).alias("q_text"), F.col(id_col).alias("q_id"))
     counted = spread(rows.select("q_lang", "q_text")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stage(counted, "langid-counts")
-    langs = [r[0] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    counts = {}
-    for lang in langs:
-        got = counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram", "n").toArrow()
-        keys = got.column(0).to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        counts[lang] = keys[order], got.column(1).to_numpy()[order]
-    model = Model.fit(counts)
-    if langs:
-        some = rows.filter(F.col("q_lang").isin(langs))
+    model = Model.fit(_counts(counted))
+    if model.langs:
+        some = rows.filter(F.col("q_lang").isin(model.langs))
         share = min(1.0, SAMPLE / max(1, some.count()))
         some = some.filter(F.pmod(F.xxhash64("q_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("q_lang", "q_text")
         calibrate(model, some.mapInArrow(partial(_entropies, model=model), "lang string, h double, n long").toArrow())
     return model
 
 
+def _counts(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """All counted 4-grams, sorted, and their numbers, by language; no more than about COLLECTED rows come to the driver at once."""
+    parts, held = -(-counted.count() // COLLECTED), {}
+    for k in range(parts):
+        got = counted.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k).toArrow()
+        lang = got.column(0).combine_chunks().dictionary_encode()
+        lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+        code, gram, n = lang.indices.to_numpy(), got.column(1).to_numpy().view(np.uint64), got.column(2).to_numpy()
+        order = np.argsort(code, kind="stable")
+        cuts = np.searchsorted(code[order], np.arange(len(lang.dictionary) + 1))
+        for name, a, b in zip(lang.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True):
+            held.setdefault(name, []).append((gram[order[a:b]], n[order[a:b]]))
+    out = {}
+    for name in list(held):
+        gram, n = (np.concatenate(x) for x in zip(*held.pop(name), strict=True))
+        order = np.argsort(gram)
+        out[name] = gram[order], n[order]
+    return out
+
+
 def _entropies(batches, model: Model):
     for batch in batches:
         h, n, ok = model.entropies(batch.column(1))

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,6 +320,24 @@ def test_language_model_sums_to_one():
         assert (p + unseen) == pytest.approx([1, 1], abs=1e-4)
 
 
+def test_language_model_has_all_languages_and_grams(spark, monkeypatch):
+    """70 languages, the last with few texts, and one with more than 150,000 4-grams, brought to the driver in parts."""
+    monkeypatch.setattr(langid, "COLLECTED", 50_000, raising=False)
+    import numpy as np
+
+    names = [f"l{k:02d}" for k in range(70)]
+    texts = {x: "".join(chr(0x4E00 + 40 * k + j) for j in (3, 1, 4, 15, 9, 26, 5, 35, 8)) for k, x in enumerate(names)}
+    signs = np.random.default_rng(1).integers(0xAC00, 0xD700, 170_000)
+    rows = [(x, texts[x]) for x in names for _ in range(2 if x == "l69" else 8)] + [("many", "".join(map(chr, signs[at : at + 10_000]))) for at in range(0, len(signs), 10_000)]
+    ids = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in zip(ids, rows)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted([*names, "many"])
+    assert {(r["lang"], r["lang_pred"]) for r in langid.predict(df, model).join(df, "doc_id").collect()} == {(x, x) for x in model.langs}
+    want = {k for _, t in rows[-17:] for k in np.unique(next(iter(langid.symbols(pa.array([t]))))[1]).tolist()}
+    assert len(want) > 150_000 and set(model.keys[model.langs.index("many")][langid.ORDER - 1].tolist()) == want
+
+
 def test_language_id(odd, docs):
     model = langid.train(docs)
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
