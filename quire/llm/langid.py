@@ -9,8 +9,8 @@ one is new. The language with the lowest cross-entropy per character is chosen,
 it is rejected where that entropy is beyond what the language's own texts show.
 
 The model has all languages and all 4-grams of the training rows, so its memory grows with the
-number of different 4-grams by language. Documented bound: rejection is calibrated on about
-SAMPLE training rows, those whose hashed id is under the share that gives so many.
+number of different 4-grams by language. Rejection is calibrated on all training rows: sums of
+weight, weight * h and weight * h * h are added up by language.
 
 Defined results: null text or text without a letter: ``und``, score 0, rejected. Without any
 training row all is ``und``. Ties go to the first language by name. Repeated rows are judged row
@@ -32,7 +32,6 @@ from .common import arrow_session, blocks, spread, stage, text_bytes
 from .pretokens import LETTER, char_classes
 
 ORDER = 4
-SAMPLE = 6000
 #: Counted 4-grams that are brought to the driver at once.
 COLLECTED = 4_000_000
 #: A text is accepted up to so many deviations over its language's mean entropy, and, as short texts vary more, a share of 1 / sqrt(characters).
@@ -209,15 +208,13 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from all rows that have a language and are not held out; rows without an id are not learned from."""
     arrow_session(docs.sparkSession)
-    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("q_lang"), F.col(text_col).alias("q_text"), F.col(id_col).alias("q_id"))
-    counted = spread(rows.select("q_lang", "q_text")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("q_lang"), F.col(text_col).alias("q_text"))
+    counted = spread(rows).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = stage(counted, "langid-counts")
     model = Model.fit(_counts(counted))
     if model.langs:
-        some = rows.filter(F.col("q_lang").isin(model.langs))
-        share = min(1.0, SAMPLE / max(1, some.count()))
-        some = some.filter(F.pmod(F.xxhash64("q_id"), F.lit(1 << 32)) < int(share * (1 << 32))).select("q_lang", "q_text")
-        calibrate(model, some.mapInArrow(partial(_entropies, model=model), "lang string, h double, n long").toArrow())
+        moments = spread(rows).mapInArrow(partial(_moments, model=model), "lang string, w double, wh double, whh double")
+        calibrate(model, moments.groupBy("lang").agg(F.sum("w"), F.sum("wh"), F.sum("whh")).collect())
     return model
 
 
@@ -241,24 +238,28 @@ def _counts(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _entropies(batches, model: Model):
+def _moments(batches, model: Model):
+    """(lang, sum of weights, of weight * h, of weight * h * h) of this task's training rows with a letter; h: entropy in their own language."""
+    held = {}
     for batch in batches:
-        h, n, ok = model.entropies(batch.column(1))
-        own = np.array([model.langs.index(x) for x in batch.column(0).to_pylist()], np.int64)
-        keep = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(h[np.arange(len(own)), own]).filter(keep), pa.array(n).filter(keep)], names=["lang", "h", "n"])
+        langs = batch.column(0)
+        for lang in pc.unique(langs).to_pylist():
+            if lang in model.langs:
+                h, n, ok = model.entropies(batch.column(1).filter(pc.equal(langs, lang)), [model.langs.index(lang)])
+                h, weight = h[ok, 0], np.minimum(n[ok], 1000)
+                held[lang] = held.get(lang, 0) + np.array([weight.sum(), (weight * h).sum(), (weight * h * h).sum()])
+    sums = np.array(list(held.values())).reshape(-1, 3)
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(sums[:, k]) for k in range(3))], names=["lang", "w", "wh", "whh"])
 
 
-def calibrate(model: Model, sample: pa.Table) -> None:
-    """Mean and deviation of the entropy of a language's own texts; languages without texts in the sample reject nothing."""
-    lang, h, n = np.array(sample.column(0).to_pylist(), object), sample.column(1).to_numpy(), sample.column(2).to_numpy()
+def calibrate(model: Model, moments: list) -> None:
+    """Mean and deviation of the entropy of a language's own texts, from their moments (lang, w, wh, whh); languages of which no text has a letter reject nothing."""
     model.mean, model.deviation = np.full(len(model.langs), np.inf), np.zeros(len(model.langs))
-    for k, name in enumerate(model.langs):
-        own = lang == name
-        if own.any():
-            weight = np.minimum(n[own], 1000)
-            model.mean[k] = np.average(h[own], weights=weight)
-            model.deviation[k] = np.sqrt(np.average((h[own] - model.mean[k]) ** 2, weights=weight))
+    for lang, w, wh, whh in moments:
+        if w:
+            k = model.langs.index(lang)
+            model.mean[k] = wh / w
+            model.deviation[k] = np.sqrt(max(0.0, whh / w - (wh / w) ** 2))
 
 
 def _predict(batches, model: Model):

@@ -338,6 +338,22 @@ def test_language_model_has_all_languages_and_grams(spark, monkeypatch):
     assert len(want) > 150_000 and set(model.keys[model.langs.index("many")][langid.ORDER - 1].tolist()) == want
 
 
+def test_language_calibration_on_all_training_rows(spark):
+    """Two rows of a rare language among 6,600 training rows, and a language without a letter."""
+    import numpy as np
+
+    ids = [k for k in range(12_000) if zlib.crc32(str(k).encode()) % 3 != 1][:6603]
+    rare = {100: "naturligvis kan ingen vide det", 5000: "hvad skal vi nu finde på i aften"}
+    rows = [(i, *((rare[k], "da") if k in rare else ("12 34", "none") if k == 7 else (f"the cat number {'abcdefg'[k % 7] * (1 + k % 11)} sat", "en"))) for k, i in enumerate(ids)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["da", "en", "none"] and model.mean[2] == np.inf
+    for k, lang in enumerate(("da", "en")):
+        h, n, _ = model.entropies(pa.array([t for _, t, x in rows if x == lang]))
+        mean = np.average(h[:, k], weights=n)
+        assert model.mean[k] == pytest.approx(mean)
+        assert model.deviation[k] == pytest.approx(np.sqrt(np.average((h[:, k] - mean) ** 2, weights=n)), rel=1e-5) and model.deviation[k] > 0
+
+
 def test_language_id(odd, docs):
     model = langid.train(docs)
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
