@@ -15,9 +15,9 @@ Links are found in two passes, as only the components matter:
    deviations under the threshold join their components into families; the full sets of a family
    meet in one task, which checks every pair of its classes in different components.
 
-A region with more than REGION classes is read one minimum deeper, up to DEEPEST, then cut into
-blocks that are compared pairwise, and so is a family: nothing is dropped, and no task holds more
-than REGION classes.
+A region with more than REGION classes of more than one component is cut into blocks that are
+compared pairwise, and so is a family: no pair of a region is dropped, and no task holds more than
+about REGION classes.
 
 Defined results: null, empty and blank texts have an empty set and no link; a null id is linked
 with nothing and stays (component_id null); rows that share an id are judged each by its own
@@ -39,7 +39,7 @@ from .common import BLOOM, arrow_session, blocks, settings, spread, stage, text_
 from .components import components
 from .texthash import _splitmix, mix, shingle_sets
 
-TREES, DEPTH, DEEPEST = 24, 4, 6
+TREES, DEPTH = 24, 4
 MINIMA = TREES * DEPTH
 #: Classes of a region that are compared with each other in one task.
 REGION = 1024
@@ -254,21 +254,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _cut(rows: DataFrame) -> DataFrame:
     """Rows (prefix, tail, rep, label, marks) of regions to rows (key, rep, label, marks, side), at most about REGION of a key."""
-    rest, done = rows.withColumn("key", F.col("prefix")), []
-    for depth in range(DEPTH, DEEPEST + 1):
-        big = rest.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("m") > REGION)
-        big = stage(big, "mh-sizes")
-        none = big.isEmpty()
-        small = rest if none else rest.join(big.select("key"), "key", "left_anti")
-        done.append(small.select("key", "rep", "label", "marks", F.lit(-1).alias("side")))
-        if none:
-            break
-        sized = rest.join(big.filter("l0 <> l1").select("key", "m"), "key")
-        if depth == DEEPEST:
-            done += _blocked(sized, "marks")
-        else:
-            rest = sized.drop("m").withColumn("key", F.xxhash64("prefix", F.expr(f"substring(tail, 1, {4 * (depth + 1 - DEPTH)})")))
-    return _union(done)
+    rows = rows.withColumn("key", F.col("prefix"))
+    big = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("m") > REGION)
+    big = stage(big, "mh-sizes")
+    if big.isEmpty():
+        return rows.select("key", "rep", "label", "marks", F.lit(-1).alias("side"))
+    small = rows.join(big.select("key"), "key", "left_anti").select("key", "rep", "label", "marks", F.lit(-1).alias("side"))
+    return _union([small, *_blocked(rows.join(big.filter("l0 <> l1").select("key", "m"), "key"), "marks")])
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:

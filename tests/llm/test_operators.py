@@ -108,6 +108,19 @@ def test_near_duplicates_in_dense_regions(spark, monkeypatch):
     assert minhash_forest.keep_one(df).count() == sum(r[3] for r in brute_near(texts, 5, 80))
 
 
+def test_large_regions_keep_all_pairs(spark, monkeypatch):
+    """A region that is cut: classes that share its minima and none deeper still meet."""
+    monkeypatch.setattr(minhash_forest, "REGION", 8)
+    rows = [(1, k.to_bytes(16, "little"), k, k, b"m") for k in range(60)] + [(2, bytes(16), 100 + k, k, b"m") for k in range(3)]
+    cut = minhash_forest._cut(spark.createDataFrame(rows, "prefix long, tail binary, rep long, label long, marks binary")).collect()
+    met = collections.defaultdict(list)
+    for r in cut:
+        met[r["key"]].append((r["rep"], r["side"]))
+    pairs = {(i, j) for x in met.values() for i, a in x for j, b in x if i < j and (a != b or a < 0)}
+    assert pairs == {(i, j) for x in (range(60), range(100, 103)) for i in x for j in x if i < j}
+    assert max(map(len, met.values())) <= 32
+
+
 def brute_align(a, b):
     best, last = 0, [0] * (len(b) + 1)
     for x in a:
