@@ -3,8 +3,11 @@
 The distinct pre-tokens of a block of texts are put in buckets by length and padded. In every
 round each row of a bucket merges its leftmost pair of least rank; pair ranks come from an
 open-addressing hash table, only the two pairs beside a merge are looked up again, and rows
-without a pair left are taken out of the matrix. A pre-token of over LONG bytes is merged alone
-on linked places with least ranks by blocks, so its time grows as n * sqrt(n). Results of
+without a pair left are taken out of the matrix. A round costs a row's width, so n bytes cost
+n * n: a pre-token of over LONG bytes (few texts have one) is a matrix of its own instead, its
+places dealt over rows of sqrt(n) whose least ranks are kept, and every round merges the
+leftmost pair of least rank in n * sqrt(n) altogether. Long texts are encoded in parts cut
+where no match is cut, so memory follows a block and the ids of one text. Results of
 earlier blocks are kept per worker, up to HELD words; that saves time only.
 
 Defined results: null text encodes as the empty text (no ids, empty bytes). Special strings in
@@ -207,13 +210,23 @@ def encoder(path: str) -> Encoder:
 
 def encode_column(column: pa.Array, path: str):
     """(row, ids, decoded bytes) of every text, in order."""
-    bpe = encoder(path)
+    bpe, held = encoder(path), []
     for rows, (words, inverse, texts) in text_blocks(column):
         ids, words_at = bpe.encode(words, inverse)
         raw, ids_at = bpe.decode(ids)
-        for k, row in enumerate(rows):
+        for k, row in enumerate(rows.tolist()):
             a, b = words_at[texts[k]], words_at[texts[k + 1]]
-            yield int(row), ids[a:b], raw[ids_at[a] : ids_at[b]]
+            if held and held[0][0] != row:
+                yield _whole(held)
+                held = []
+            held.append((row, ids[a:b], raw[ids_at[a] : ids_at[b]]))
+    if held:
+        yield _whole(held)
+
+
+def _whole(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The parts of one row as one."""
+    return parts[0] if len(parts) == 1 else (parts[0][0], *(np.concatenate(x) for x in list(zip(*parts, strict=True))[1:]))
 
 
 def _encode(batches, path: str):
@@ -278,8 +291,9 @@ def _tokenised(batches, path: str, text: int, keep: list[int]):
 
 
 def tokenised(docs: DataFrame, path: str, text_col: str = "text", keep=("doc_id", "lang", "source")) -> DataFrame:
-    """The columns in keep with n_tokens, ids and the digest of the bytes that the ids decode to, for every row."""
+    """The columns in keep that docs has, with n_tokens, ids and the digest of the bytes that the ids decode to, for every row."""
     arrow_session(docs.sparkSession)
+    keep = [c for c in keep if c in docs.columns]
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
     places = [docs.columns.index(c) for c in keep]
     work = partial(_tokenised, path=path, text=docs.columns.index(text_col), keep=places)

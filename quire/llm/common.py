@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised operator handles at once; a longer single text is handled alone.
 BLOCK_BYTES = 1 << 20
-#: Rows of one Arrow batch: at a few kilobytes a text this keeps a batch at some megabytes.
-ARROW_ROWS = 1000
+#: Bounds of one Arrow batch: rows, and bytes (a batch ends with the row that passes them).
+ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, local sessions (tests) get a temporary one; a cluster gets an error, as its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         key = spark.sparkContext.applicationId
-        found = _fallback.setdefault(key, "") or _fallback.__setitem__(key, f"file://{tempfile.mkdtemp(prefix='quire-')}") or _fallback[key]
+        if key not in _fallback:
+            _fallback[key] = f"file://{tempfile.mkdtemp(prefix='quire-')}"
+        found = _fallback[key]
     return found.rstrip("/")
 
 
@@ -67,9 +71,28 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Spark's own values of the batch settings; others were chosen by a user and are kept.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", ARROW_BYTES)}
+
+
 def arrow_session(spark: SparkSession) -> None:
-    """Small Arrow batches, as rows are whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds Arrow batches by rows and bytes, as rows are whole texts. Spark reads these settings when a plan runs, after the operator that made it has returned, so they stay in the session."""
+    for key, (default, value) in _BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    held = {c.lower() for c in df.columns}
+    return next(name for k in range(len(held) + 1) if (name := f"{stem}_{k}") not in held)
+
+
+def integral(df: DataFrame, *columns: str) -> None:
+    """Raises a ValueError unless these columns are integers: ids are compared and ordered as longs."""
+    for c in columns:
+        if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long"):
+            raise ValueError(f"column {c} must hold integers, not {df.schema[c].dataType.simpleString()}")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Connected components of an edge table.
 
-Each task first contracts its edges to stars. If SMALL edges at most remain, one task finishes
+Each task first contracts its edges to stars; edges are dealt by both ends, so a node with very
+many of them is spread. If SMALL edges at most remain, one task finishes
 them; else nodes are hung on least neighbours in alternating star rounds until nothing changes,
 so no task ever holds more than a share of the edges, or SMALL of them.
 """
@@ -50,7 +51,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that an edge touches but the roots themselves; root: the component's least node."""
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    now = stage(pairs.repartition("u").mapInArrow(_contract, "u long, v long"), "cc")
+    now = stage(pairs.repartition("u", "v").mapInArrow(_contract, "u long, v long"), "cc")
     if now.count() <= SMALL:
         now = stage(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "cc")
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

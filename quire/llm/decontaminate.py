@@ -1,19 +1,28 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-The benchmark is the stated query set; it is taken in blocks of bounded bytes, each block small
-enough to go to every task. All word n-grams of an item are its seeds, however often they occur,
-so what is found in a document doesn't depend on the others. One pass over the documents finds
-the seeds, joins the passage around them to the item, and aligns the two locally: a match counts
-1, a mismatch or gap -1, and the score is the best alignment's sum over the item's words. A
-passage with fewer words of the item than the least sum can't reach it and isn't aligned. No
-corpus row is shuffled or collected.
+The benchmark is the stated query set. Its different texts are taken in blocks of bounded bytes,
+each small enough to go to every task; repeats of a text cost a row of a join with the results.
+All word n-grams of an item are its seeds, however often they occur (seeds that are rare in the
+corpus only, as the method has it, lose a passage whose own n-grams are all frequent: a leak into
+very many documents hides itself), so what is found in a document doesn't depend on the others.
+One pass over the documents for each block finds the seeds, joins the passage around them to the
+item, and aligns the two locally: a match counts 1, a mismatch or gap -1, and the score is the
+best alignment's sum over the item's words. A passage with fewer words of the item than the least
+sum can't reach it and isn't aligned. No corpus row is shuffled or collected.
+
+A passage is contaminated from a score of LEAST and a sum of LEAST_WORDS on (all words of a
+shorter item), or from a sum of ENOUGH_WORDS on, whatever the item's length.
 
 Words are runs of letters and digits, lower-cased, so changed case and signs don't matter.
 
 Defined results: null or empty texts and items without words match nothing; an item of fewer
 words than an n-gram has its whole sequence as its only seed; repeated items and rows each give
-their own result rows; a null id is carried as it is; empty tables give no rows; other columns
-are not looked at.
+their own result rows; items of fewer than LEAST_WORDS words are reported by ``find``, but no
+document is dropped for them by ``clean``, as so few words are no evidence; of several passages
+of one item in a document the best is reported, by score, then seeds, then the earlier; a null id
+is carried as it is; empty tables give no rows; other columns are not looked at. An alignment
+costs the item's words times those of its passage, whatever the
+document's length; its memory follows the passage.
 """
 
 from __future__ import annotations
@@ -27,21 +36,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, blocks, spread, text_bytes
+from .common import arrow_session, blocks, spread, stage, text_bytes
 from .texthash import SIGNLESS, grams, words
 
 GRAM = 3
 #: Least score of a contaminated passage (an item's own text scores 1), and least sum, unless the item is shorter.
 LEAST, LEAST_WORDS = 0.4, 6
-#: Bytes of benchmark text in a block.
+#: A sum that is evidence enough for an item of any length.
+ENOUGH_WORDS = 50
+#: Bytes of benchmark text in a block; a task holds about four times as much.
 BLOCK = 8 << 20
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: ids, word hashes of each, and its n-grams (sorted hash, item, place)."""
+    """A block of benchmark items: keys of the texts, word hashes of each, and its n-grams (sorted hash, item, place)."""
 
-    ids: list
+    names: list[str]
     words: list[np.ndarray]
     keys: np.ndarray
     item: np.ndarray
@@ -59,13 +70,13 @@ class Items:
             place.append(np.arange(len(g)))
         keys, item, place = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, item, place))
         order = np.argsort(keys, kind="stable")
-        return cls([r[0] for r in rows], own, keys[order], item[order].astype(np.int64), place[order].astype(np.int64))
+        return cls([r[0] for r in rows], own, keys[order], item[order].astype(np.int32), place[order].astype(np.int32))
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows, and the n+1 offsets of the rows in them."""
     data, offsets = text_bytes(pc.utf8_lower(column.fill_null("")))
-    hashes, _, _, rows = words(data, offsets, SIGNLESS)
+    (hashes, _), rows = words(data, offsets, SIGNLESS)
     return hashes, rows
 
 
@@ -134,7 +145,7 @@ def _passages(hashes: np.ndarray, rows: np.ndarray, seeds: Items):
         fits = np.array([min(GRAM, len(w)) for w in seeds.words], np.int64)[seeds.item[k]] == size
         k, place = k[fits], place[fits]
         text.append(np.searchsorted(rows, place, side="right") - 1)
-        item.append(seeds.item[k])
+        item.append(seeds.item[k].astype(np.int64))
         diagonal.append(place - seeds.place[k])
     if not text:
         return
@@ -157,8 +168,12 @@ def _passages(hashes: np.ndarray, rows: np.ndarray, seeds: Items):
 def _enough(passage: tuple, hashes: np.ndarray, items: Items, least: float) -> bool:
     """Whether the passage has as many words of its item as the least sum: an alignment's sum is at most its matches."""
     own, window = items.words[passage[1]], hashes[passage[2] : passage[3]]
-    most = min(len(own), int(np.isin(window, own).sum()))
-    return most / len(own) >= least and most >= min(LEAST_WORDS, len(own))
+    return _reaches(min(len(own), int(np.isin(window, own).sum())), len(own), least)
+
+
+def _reaches(total: int, size: int, least: float) -> bool:
+    """Whether an alignment's sum is evidence for an item of so many words."""
+    return (total / size >= least and total >= min(LEAST_WORDS, size)) or total >= ENOUGH_WORDS
 
 
 def _hits(column: pa.Array, seeds: Items, least: float):
@@ -174,55 +189,58 @@ def _hits(column: pa.Array, seeds: Items, least: float):
             for one in ([some] if max(x[3] - x[2] for x in some) < 4096 else [[x] for x in some]):
                 score, end = align([seeds.words[x[1]] for x in one], [hashes[x[2] : x[3]] for x in one])
                 for x, s, e in zip(one, score.tolist(), end.tolist(), strict=True):
-                    share = s / len(seeds.words[x[1]])
-                    if share >= least and s >= min(LEAST_WORDS, len(seeds.words[x[1]])) and (share, x[4]) > best.get(x[:2], (0, 0))[:2]:
-                        best[x[:2]] = share, x[4], x[2], x[2] + e + 1
+                    size = len(seeds.words[x[1]])
+                    if _reaches(s, size, least):
+                        best[x[:2]] = max(best.get(x[:2], (0,)), (s / size, int(x[4]), -x[2], x[2] + e + 1))
         for (t, i), (share, n, first, end) in sorted(best.items()):
-            yield start + t, i, share, int(n), first - int(rows[t]), end - int(rows[t])
+            yield start + t, i, share, n, -first - int(rows[t]), end - int(rows[t])
         start += len(part)
 
 
-def _report(batches, seeds: Items, least: float, item_kind):
+REPORT = "q_item string, score double, n_seeds long, window_start long, match_end long"
+
+
+def _report(batches, seeds: Items, least: float):
     for batch in batches:
         found = list(_hits(batch.column(1), seeds, least))
         ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
         column = lambda k, kind: pa.array([x[k] for x in found], kind)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([seeds.ids[x[1]] for x in found], item_kind), column(2, pa.float64()), column(3, pa.int64()), column(4, pa.int64()), column(5, pa.int64())], names=["q_id", "item_id", "score", "n_seeds", "window_start", "match_end"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([seeds.names[x[1]] for x in found], pa.string()), column(2, pa.float64()), column(3, pa.int64()), column(4, pa.int64()), column(5, pa.int64())], names=["q_id", "q_item", "score", "n_seeds", "window_start", "match_end"])
 
 
 def _clean(batches, seeds: Items, least: float, text: int):
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
-        keep[[x[0] for x in _hits(batch.column(text), seeds, least)]] = False
+        keep[[x[0] for x in _hits(batch.column(text), seeds, least) if len(seeds.words[x[1]]) >= LEAST_WORDS]] = False
         yield batch.filter(pa.array(keep))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str):
-    """Blocks of the benchmark."""
+def _blocks(benchmark: DataFrame, item_text: str):
+    """Blocks of the benchmark's different texts."""
     arrow_session(benchmark.sparkSession)
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    n = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK))
+    texts = benchmark.filter(F.col(item_text).isNotNull()).groupBy(F.sha2(item_text, 256).alias("k")).agg(F.first(item_text).alias("t"))
+    texts = stage(texts, "bench-texts")
+    n = max(1, -(-(texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK))
     for k in range(n):
-        yield Items.of([tuple(r) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()])
+        yield Items.of([tuple(r) for r in texts.filter(F.pmod(F.xxhash64("k"), F.lit(n)) == k).sort("k").collect()])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """A row for each document and item that it holds: id_col, item_id, score, n_seeds, window_start, match_end (words)."""
-    kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType]
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema, out = f"q_id {kinds[0]}, item_id {kinds[1].simpleString()}, score double, n_seeds long, window_start long, match_end long", None
     rows = spread(docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")))
-    for seeds in _blocks(benchmark, item_id, item_text):
-        part = rows.mapInArrow(partial(_report, seeds=seeds, least=least, item_kind=to_arrow_type(kinds[1])), schema)
+    schema, out = f"q_id {docs.schema[id_col].dataType.simpleString()}, {REPORT}", None
+    for seeds in _blocks(benchmark, item_text):
+        part = rows.mapInArrow(partial(_report, seeds=seeds, least=least), schema)
         out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("q_id", id_col)
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.sha2(item_text, 256).alias("q_item"))
+    out = out.join(items, "q_item").withColumnRenamed("q_id", id_col)
+    return out.select(id_col, "item_id", "score", "n_seeds", "window_start", "match_end")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", least: float = LEAST) -> DataFrame:
     """The documents without a contaminated passage, all columns as they are."""
     at = docs.columns.index(text_col)
     out = docs
-    for seeds in _blocks(benchmark, item_id, item_text):
+    for seeds in _blocks(benchmark, item_text):
         out = out.mapInArrow(partial(_clean, seeds=seeds, least=least, text=at), out.schema)
     return out

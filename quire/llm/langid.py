@@ -8,13 +8,23 @@ of texts looks up each of its different 4-grams once per language, and looks fur
 one is new. The language with the lowest cross-entropy per character is chosen, and
 it is rejected where that entropy is beyond what the language's own texts show.
 
-The model has all languages and all 4-grams of the training rows, so its memory grows with the
-number of different 4-grams by language. Rejection is calibrated on all training rows: sums of
-weight, weight * h and weight * h * h are added up by language.
+The model has all languages and all 4-grams of the rows it is counted from, so its memory grows
+with the number of different 4-grams by language; letters beyond U+FFFF share 8,448 numbers that
+no other letter has.
+
+Rejection and score are calibrated on training rows that are left out of the counts: one in
+SHARE by a hash of the id, however many there are. A language of few rows learns from and is
+calibrated on all of its rows. What is gathered is added up by language and length class: own
+entropies, and those under the best *other* language, which show what foreign text looks like. A
+text of n characters is rejected where its entropy is over a line between the two means (LINE), and
+over DEVIATIONS deviations of own texts of that length, whose variance is fitted as a + b / n.
+The score's sharpness is the one of SHARPNESS that gives the true languages the highest
+likelihood.
 
 Defined results: null text or text without a letter: ``und``, score 0, rejected. Without any
 training row all is ``und``. Ties go to the first language by name. Repeated rows are judged row
-by row; empty tables give empty results; other columns are not looked at.
+by row; empty tables give empty results; other columns are not looked at. Long texts are judged
+whole, in memory that follows the text.
 """
 
 from __future__ import annotations
@@ -34,11 +44,18 @@ from .pretokens import LETTER, char_classes
 ORDER = 4
 #: Counted 4-grams that are brought to the driver at once.
 COLLECTED = 4_000_000
-#: A text is accepted up to so many deviations over its language's mean entropy, and, as short texts vary more, a share of 1 / sqrt(characters).
-#: Texts of two languages stay within this; texts of other languages are several nats over the mean.
-DEVIATIONS, NOISE = 20.0, 15.0
-#: Entropy difference per character to log-odds.
-SHARPNESS = 12.0
+#: One training row in SHARE calibrates; a language of fewer than FEW training rows learns from and is calibrated on all.
+SHARE, FEW = 8, 240
+#: Rows of a length class that show its variance.
+EACH = 8
+#: A character's log-probability deviates by half a nat to two nats; what few rows seem to show beyond that is chance.
+LEAST_B, MOST_B = 0.25, 4.0
+#: Where the line lies between the means of own and foreign entropies: nearer to foreign, as a lost document can't be had again.
+LINE = 0.75
+#: Own texts lie within so many deviations; where only one language is known, nothing tells what foreign text looks like, and the line is drawn farther out.
+DEVIATIONS, ALONE = 6.0, 20.0
+#: Entropy difference per character to log-odds: the values that are tried.
+SHARPNESS = tuple(2.0**k for k in range(7))
 BLANK, START = 0x20, 0x1
 _LOW = np.uint64(0xFFFF)
 
@@ -64,7 +81,7 @@ def symbols(column: pa.Array):
         keep = letter.copy()
         keep[1:] |= letter[:-1]
         keep[rows[:-1][rows[:-1] < len(codes)]] = True
-        value = np.where(blank, BLANK, codes & 0xFFFF).astype(np.uint64)[keep]
+        value = np.where(blank, BLANK, np.where(codes > 0xFFFF, 0xD800 + codes % 8448, codes)).astype(np.uint64)[keep]
         kept = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(keep, out=kept[1:])
         at = kept[rows]
@@ -122,8 +139,9 @@ class Model:
     contexts: list[list[np.ndarray]]
     weights: list[list[np.ndarray]]
     floor: np.ndarray
-    mean: np.ndarray | None = None
-    deviation: np.ndarray | None = None
+    sharpness: float = SHARPNESS[-1]
+    #: By language: mean, a and b of own entropies' variance a + b / n, least entropy of foreign texts (-inf: unknown).
+    own: np.ndarray | None = None
 
     @classmethod
     def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -194,12 +212,16 @@ class Model:
             return ["und"] * len(column), np.zeros(len(column)), np.zeros(len(column)), np.ones(len(column), bool)
         best = h.argmin(axis=1)
         least = h[np.arange(len(h)), best]
-        score = 1 / np.exp(np.minimum(50, -SHARPNESS * (h - least[:, None]) + 0.0)).sum(axis=1)
-        rejected = ~ok
-        if self.mean is not None:
-            rejected |= least > self.mean[best] + DEVIATIONS * self.deviation[best] + NOISE / np.sqrt(np.maximum(1, n))
+        score = 1 / np.exp(np.minimum(50, -self.sharpness * (h - least[:, None]) + 0.0)).sum(axis=1)
+        rejected = ~ok if self.own is None else ~ok | (least > self.limit(best, n))
         return [self.langs[k] if o else "und" for k, o in zip(best, ok, strict=True)], np.where(ok, score, 0.0), least, rejected
 
+    def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The entropy over which a text of n characters isn't of that language."""
+        mean, a, b, foreign = self.own[:, lang]
+        deviation = np.sqrt(a + b / np.maximum(1, n))
+        return np.where(np.isfinite(foreign), np.maximum(mean + LINE * (foreign - mean), mean + DEVIATIONS * deviation), mean + ALONE * deviation)
+
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
@@ -208,13 +230,16 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from all rows that have a language and are not held out; rows without an id are not learned from."""
     arrow_session(docs.sparkSession)
-    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("q_lang"), F.col(text_col).alias("q_text"))
-    counted = spread(rows).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = stage(counted, "langid-counts")
-    model = Model.fit(_counts(counted))
+    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    share = (F.pmod(F.xxhash64(id_col), F.lit(SHARE)) == 0).alias("q_share")
+    rows = rows.select(F.col(lang_col).cast("string").alias("q_lang"), F.col(text_col).alias("q_text"), share)
+    few = [r[0] for r in rows.groupBy("q_lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < FEW).collect()]
+    rare = F.col("q_lang").isin(few) if few else F.lit(False)
+    counted = spread(rows.filter(~F.col("q_share") | rare)).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model = Model.fit(_counts(stage(counted, "langid-counts")))
     if model.langs:
-        moments = spread(rows).mapInArrow(partial(_moments, model=model), "lang string, w double, wh double, whh double")
-        calibrate(model, moments.groupBy("lang").agg(F.sum("w"), F.sum("wh"), F.sum("whh")).collect())
+        moments = spread(rows.filter(F.col("q_share") | rare)).mapInArrow(partial(_moments, model=model), MOMENTS)
+        calibrate(model, moments.groupBy("kind", "lang", "size").agg(*[F.sum(x).alias(x) for x in ("w", "wh", "whh")]).collect())
     return model
 
 
@@ -238,28 +263,74 @@ def _counts(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+MOMENTS = "kind string, lang string, size int, w double, wh double, whh double"
+
+
 def _moments(batches, model: Model):
-    """(lang, sum of weights, of weight * h, of weight * h * h) of this task's training rows with a letter; h: entropy in their own language."""
-    held = {}
+    """Sums over this task's calibration rows with a letter: number, h and h * h of kind own (rows found to be of their language: h under it) and foreign (h under the best other language, which is lang), by floor(log2(n)); and the log-likelihood of the true languages (as wh) for each SHARPNESS (by size)."""
+    held: dict[tuple[str, str, int], np.ndarray] = {}
+
+    def add(kind: str, lang: str, sizes: np.ndarray, h: np.ndarray) -> None:
+        for c in np.unique(sizes):
+            x = h[sizes == c]
+            key = kind, lang, int(c)
+            held[key] = held.get(key, 0) + np.array([len(x), x.sum(), (x * x).sum()])
+
     for batch in batches:
         langs = batch.column(0)
         for lang in pc.unique(langs).to_pylist():
-            if lang in model.langs:
-                h, n, ok = model.entropies(batch.column(1).filter(pc.equal(langs, lang)), [model.langs.index(lang)])
-                h, weight = h[ok, 0], np.minimum(n[ok], 1000)
-                held[lang] = held.get(lang, 0) + np.array([weight.sum(), (weight * h).sum(), (weight * h * h).sum()])
-    sums = np.array(list(held.values())).reshape(-1, 3)
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(sums[:, k]) for k in range(3))], names=["lang", "w", "wh", "whh"])
-
-
-def calibrate(model: Model, moments: list) -> None:
-    """Mean and deviation of the entropy of a language's own texts, from their moments (lang, w, wh, whh); languages of which no text has a letter reject nothing."""
-    model.mean, model.deviation = np.full(len(model.langs), np.inf), np.zeros(len(model.langs))
-    for lang, w, wh, whh in moments:
-        if w:
+            if lang not in model.langs:
+                continue
             k = model.langs.index(lang)
-            model.mean[k] = wh / w
-            model.deviation[k] = np.sqrt(max(0.0, whh / w - (wh / w) ** 2))
+            h, n, ok = model.entropies(batch.column(1).filter(pc.equal(langs, lang)))
+            h, size = h[ok], np.log2(np.maximum(1, n[ok])).astype(int)
+            best = h.argmin(axis=1)
+            add("own", lang, size[best == k], h[best == k, k])
+            for i, sharp in enumerate(SHARPNESS):
+                ratio = np.exp(np.minimum(50, -sharp * (h - h[:, k, None]))).sum(axis=1)
+                add("sharpness", "", np.full(len(h), i), -np.log(ratio))
+            h[:, k] = np.inf
+            other = h.argmin(axis=1)
+            for j in np.unique(other) if len(model.langs) > 1 else ():
+                add("foreign", model.langs[j], size[other == j], h[other == j, j])
+    sums = np.array(list(held.values())).reshape(-1, 3)
+    kinds = (pa.string(), pa.string(), pa.int32())
+    yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in held], kind) for i, kind in enumerate(kinds)), *(pa.array(sums[:, i]) for i in range(3))], names=["kind", "lang", "size", "w", "wh", "whh"])
+
+
+def _variance(sizes: np.ndarray, w: np.ndarray, wh: np.ndarray, whh: np.ndarray) -> tuple[float, float, float]:
+    """Mean, and a and b of the variance a + b / n by least squares over the length classes of EACH rows and more; b is 1, a character's variance in round numbers, where fewer than two classes show it."""
+    mean = wh.sum() / w.sum()
+    square = (whh - 2 * mean * wh + mean * mean * w) / w
+    x = np.stack([np.ones(len(w)), 1 / (1.5 * 2.0**sizes)], axis=1)
+    some = w >= EACH
+    if some.sum() < 2:
+        return mean, max(0.0, float((square * w).sum() / w.sum() - (w * x[:, 1]).sum() / w.sum())), 1.0
+    x, y, w = x[some], square[some], w[some]
+    a, b = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    if a < 0:
+        a, b = 0.0, (w * y * x[:, 1]).sum() / (w * x[:, 1] ** 2).sum()
+    return mean, max(float(a), 1e-6), min(max(float(b), LEAST_B), MOST_B)
+
+
+def calibrate(model: Model, rows: list) -> None:
+    """Sets what rejection and score need from the sums of _moments; a language without own rows rejects nothing."""
+    sums = {(kind, lang): [] for kind in ("own", "foreign") for lang in model.langs}
+    likely = np.full(len(SHARPNESS), -np.inf)
+    for kind, lang, size, *x in rows:
+        if kind == "sharpness":
+            likely[size] = x[1]
+        else:
+            sums[kind, lang].append((size, *x))
+    model.sharpness = SHARPNESS[int(likely.argmax())]
+    model.own = np.zeros((4, len(model.langs)))
+    every = np.array([x for lang in model.langs for x in sums["foreign", lang]], float).reshape(-1, 4)
+    for k, lang in enumerate(model.langs):
+        own = np.array(sorted(sums["own", lang]), float)
+        model.own[:3, k] = _variance(own[:, 0], *own[:, 1:].T) if len(own) else (np.inf, 0, 0)
+        foreign = np.array(sums["foreign", lang], float).reshape(-1, 4)
+        foreign = foreign if foreign[:, 1].sum() >= FEW / SHARE else every
+        model.own[3, k] = foreign[:, 2].sum() / foreign[:, 1].sum() if len(foreign) else -np.inf
 
 
 def _predict(batches, model: Model):

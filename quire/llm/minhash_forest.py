@@ -7,21 +7,29 @@ common prefix side by side: a run with the same first DEPTH minima is a region,
 are candidates for each other. Two sets with similarity 0.8 share a region of at least one of
 the 24 trees with probability 1 - 3e-6.
 
-Links are found in two passes, as only the components matter:
+Links are found in passes, as only the components matter:
 
 1. neighbours in the sorted orders: every class offers the neighbour with the highest estimate,
    and these pairs are confirmed on their full sets;
 2. within regions, pairs of classes in different components whose estimate is not more than five
    deviations under the threshold join their components into families; the full sets of a family
-   meet in one task, which checks every pair of its classes in different components.
+   meet, and every pair of its classes in different components is checked. A region of over REGION
+   classes is read deeper here, each part of it at the depth where it has so few;
+3. what is left of large regions: those with classes of more than one component still are compared
+   in full, cut into blocks.
 
-A region with more than REGION classes of more than one component is cut into blocks that are
-compared pairwise, and so is a family: no pair of a region is dropped, and no task holds more than
-about REGION classes.
+A group with more than REGION classes or FAMILY_BYTES of text is cut into blocks that meet in
+pairs. A component with more classes than a block has blocks of its own, which need not meet each
+other; so no pair of different components is dropped, no task holds more than about two blocks,
+and the texts of a large component go out once for each block of other components, not of its own.
+
+Equal sets are known by 128 bits of every shingle; links are confirmed on the words themselves
+(numbered by what they are), never on hashes.
 
 Defined results: null, empty and blank texts have an empty set and no link; a null id is linked
 with nothing and stays (component_id null); rows that share an id are judged each by its own
-text; an empty table gives an empty result; other columns are not looked at.
+text; ids are integers, others raise a ValueError; an empty table gives an empty result; other
+columns are not looked at, whatever their names. Long texts are read whole, in pieces.
 """
 
 from __future__ import annotations
@@ -35,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOOM, arrow_session, blocks, settings, spread, stage, text_bytes
+from .common import BLOOM, arrow_session, blocks, fresh, integral, settings, spread, stage, text_bytes
 from .components import components
-from .texthash import _splitmix, mix, shingle_sets
+from .texthash import _splitmix, mix, numbered_sets, shingle_sets
 
 TREES, DEPTH = 24, 4
 MINIMA = TREES * DEPTH
-#: Classes of a region that are compared with each other in one task.
-REGION = 1024
+#: Classes of a group that are compared with each other in one task, and bytes of their texts.
+REGION, FAMILY_BYTES = 1024, 16 << 20
 _A = (_splitmix(MINIMA, 101) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 _B = (_splitmix(MINIMA, 202) >> np.uint64(32)).astype(np.uint32)[:, None]
 SIGNED = "q_id long, n long, class binary, sig binary"
@@ -62,9 +70,9 @@ def _sign(batches, words: int):
         data, offsets = text_bytes(batch.column(1))
         n, ids, sigs = [], [], []
         for a, b in blocks(offsets):
-            for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words):
+            for s, other in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words):
                 n.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                ids.append(hashlib.blake2b(s.tobytes() + other.to_bytes(8, "little"), digest_size=24).digest())
                 sigs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["q_id", "n", "class", "sig"])
 
@@ -197,19 +205,26 @@ def _family_links(batches, words: int, percent: int):
     """Sorted rows (key, rep, label, text, side) of families: links between classes of different labels, as few as join all that are similar."""
     for g in _groups(batches):
         rep, label, side = g.column(1).to_numpy(), g.column(2).to_numpy(), g.column(4).to_numpy()
-        data, offsets = text_bytes(g.column(3))
-        sets = [s for a, b in blocks(offsets) for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)]
+        if (label == label[0]).all():
+            continue
+        sets = numbered_sets(*text_bytes(g.column(3)), words)
         size = np.array([len(s) for s in sets])
-        both = np.zeros((len(sets), len(sets)), np.int32)
-        for bits in _shared(sets):
+        parts = list(_shared(sets)) if len(sets) * size.sum() < 8 * BITS else None
+        both = None if parts is not None else np.zeros((len(sets), len(sets)), np.int32)
+        meets = lambda i: i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))  # noqa: E731, B023
+        for bits in _shared(sets) if parts is None else ():
             for i in range(len(sets) - 1):
-                both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int32)
+                if len(j := meets(i)):
+                    both[i, j] += np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int32)
         roots, join = _joined(label)
         root, a, b = roots(), [], []
         for i in range(len(sets) - 1):
-            common = both[i, i + 1 :]
-            good = (common > 0) & (100 * common >= percent * (size[i] + size[i + 1 :] - common)) & (root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))
-            j = i + 1 + np.flatnonzero(good)
+            j = meets(i)
+            j = j[root[j] != root[i]]
+            if not len(j):
+                continue
+            common = both[i, j] if parts is None else sum(np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) for bits in parts)
+            j = j[(common > 0) & (100 * common >= percent * (size[i] + size[j] - common))]
             _, first = np.unique(root[j], return_index=True)
             for k in j[first]:
                 a.append(rep[i])
@@ -221,14 +236,17 @@ def _family_links(batches, words: int, percent: int):
 
 
 def _confirm(batches, words: int, percent: int):
-    """Rows (a, b, text of a, text of b): the pairs whose full sets are similar enough."""
+    """Rows (a, b, text of a, text of b): the pairs whose full sets are similar enough, as the words have it."""
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         (x, xo), (y, yo) = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-        for k in range(batch.num_rows):
-            s, t = (next(iter(shingle_sets(d[o[k] : o[k + 1]], o[k : k + 2] - o[k], words))) for d, o in ((x, xo), (y, yo)))
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep[k] = both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+        for a, b in blocks(xo + yo):
+            data = np.concatenate([x[xo[a] : xo[b]], y[yo[a] : yo[b]]])
+            offsets = np.concatenate([xo[a : b + 1] - xo[a], yo[a + 1 : b + 1] - yo[a] + xo[b] - xo[a]])
+            sets = numbered_sets(data, offsets, words)
+            for k, (s, t) in enumerate(zip(sets[: b - a], sets[b - a :], strict=True)):
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep[a + k] = both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
 
@@ -237,43 +255,71 @@ def _labelled(links: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     return rows.join(links.select(F.col("node").alias(id_col), "root"), id_col, "left").withColumn("label", F.coalesce("root", id_col)).drop("root")
 
 
-def _blocked(big: DataFrame, *keep: str) -> list[DataFrame]:
-    """Rows of groups (key, of m rows) with more than REGION rows to keys of each two blocks, and of each block."""
-    big = big.withColumn("nb", F.ceil(F.col("m") / (REGION // 2)).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    inner = big.select(F.xxhash64("key", "side", "side").alias("key"), "rep", "label", *keep, F.lit(-1).alias("side"))
-    other = big.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).filter("o <> side")
-    return [inner, other.select(F.xxhash64("key", F.least("o", "side"), F.greatest("o", "side")).alias("key"), "rep", "label", *keep, "side")]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for d in parts[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """Rows (prefix, tail, rep, label, marks) of regions to rows (key, rep, label, marks, side), at most about REGION of a key."""
-    rows = rows.withColumn("key", F.col("prefix"))
-    big = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter(F.col("m") > REGION)
-    big = stage(big, "mh-sizes")
-    if big.isEmpty():
-        return rows.select("key", "rep", "label", "marks", F.lit(-1).alias("side"))
-    small = rows.join(big.select("key"), "key", "left_anti").select("key", "rep", "label", "marks", F.lit(-1).alias("side"))
-    return _union([small, *_blocked(rows.join(big.filter("l0 <> l1").select("key", "m"), "key"), "marks")])
+def _blocked(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows (key, rep, label, size, keep) to rows (key, rep, label, keep, side): large groups cut into blocks of about half a group that meet in pairs, with a key for each pair.
+
+    A label with more than a block has blocks of its own; the others share blocks, each label in one. Two blocks meet unless both are of one label; side tells the blocks of a pair apart, -1 stands for a group or block whose rows all meet."""
+    half, whole = REGION // 2, F.lit(float(FAMILY_BYTES))
+    labels = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    labels = labels.withColumn("need", F.greatest(F.col("n") / half, F.col("bytes") * 2 / whole))
+    groups = labels.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_labels"), F.sum(F.when(F.col("need") <= 1, F.col("need")).otherwise(0)).alias("shared"))
+    groups = groups.filter("n_labels > 1").withColumn("large", (F.col("n") > REGION) | (F.col("bytes") > whole))
+    groups = stage(groups.select("key", "large", F.greatest(F.lit(1), F.ceil("shared")).alias("shared")), "mh-groups")
+    small = rows.join(groups.filter("not large").select("key"), "key").select("key", "rep", "label", *keep, F.lit(-1).alias("side"))
+    if groups.filter("large").isEmpty():
+        return small
+    own = labels.join(groups.filter("large").select("key", "shared"), "key").withColumn("own", F.col("need") > 1)
+    own = stage(own.select("key", "label", "own", F.when(F.col("own"), F.ceil("need")).otherwise(F.col("shared")).cast("int").alias("nb")), "mh-labels")
+    named = lambda t: t.withColumn("block", F.concat_ws(":", F.when(F.col("own"), F.col("label").cast("string")).otherwise(F.lit("shared")), "number"))
+    numbers = F.when(F.col("own"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod(F.xxhash64("label"), F.col("nb")).cast("int")))
+    every = named(own.withColumn("number", F.explode(numbers))).select("key", F.when(F.col("own"), F.col("label")).alias("of"), "block").distinct()
+    x, y = (every.select("key", F.col("of").alias(f"of_{k}"), F.col("block").alias(k)) for k in "xy")
+    meet = x.join(y, "key").filter("x <= y and (of_x is null or of_y is null or of_x <> of_y)").select("key", "x", "y", F.xxhash64("key", "x", "y").alias("pair"))
+    meet = stage(meet, "mh-meet")
+    sides = meet.select("key", F.col("x").alias("block"), "pair", F.when(F.col("x") == F.col("y"), -1).otherwise(0).alias("side"))
+    sides = sides.unionByName(meet.filter("x <> y").select("key", F.col("y").alias("block"), "pair", F.lit(1).alias("side")))
+    number = F.when(F.col("own"), F.pmod(F.xxhash64("rep"), F.col("nb"))).otherwise(F.pmod(F.xxhash64("label"), F.col("nb"))).cast("int")
+    dealt = named(rows.join(own, ["key", "label"]).withColumn("number", number))
+    large = dealt.join(sides, ["key", "block"]).select(F.col("pair").alias("key"), "rep", "label", *keep, "side")
+    return small.unionByName(large)
+
+
+def _deeper(rows: DataFrame, big: DataFrame) -> DataFrame:
+    """Rows (key, tail, ...) of regions with over REGION classes, by the key of the least depth at which their part of the region has so few; parts that are larger at every depth are left out."""
+    rest, done = rows.join(big.select("key"), "key"), None
+    for d in range(1, DEPTH + 1):
+        rest = rest.withColumn("deep", F.xxhash64("key", F.substring("tail", 1, 4 * d)))
+        sizes = rest.groupBy("deep").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("deep", "m")
+        rest = stage(rest.join(sizes, "deep"), "mh-deeper")
+        part = rest.filter(F.col("m") <= REGION).drop("m").withColumn("key", F.col("deep")).drop("deep")
+        done = part if done is None else done.unionByName(part)
+        rest = rest.filter(F.col("m") > REGION).drop("m", "deep")
+        if rest.isEmpty():
+            break
+    return done
+
+
+def _links(rows: DataFrame, texts: DataFrame, roots: DataFrame, touched: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between the components of classes that meet in rows (key, rep, label, marks, side): candidates by estimate, their families, and these confirmed on full sets."""
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    pairs = stage(rows.mapInArrow(partial(_candidates, least=least), "a long, b long").distinct(), "mh-candidates")
+    family = components(pairs, "a", "b")
+    family = stage(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("label"), F.col("root").alias("key")), "mh-families")
+    members = stage(_labelled(roots, touched, "rep").join(family, "label").select("key", "rep", "label", "size"), "mh-members")
+    rows = _blocked(members).join(texts, "rep").select("key", "rep", "label", "q_text", "side").repartition("key").sortWithinPartitions("key")
+    return stage(rows.mapInArrow(partial(_family_links, words=words, percent=percent), "a long, b long"), "mh-links")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Signed rows (q_id, n, class, rep) and the components (node, root) over classes, each known by its least id."""
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Signed rows (q_id, n, class, rep, root): rep is the least id of the row's class, root that of its component."""
     spark = docs.sparkSession
+    integral(docs, id_col)
     arrow_session(spark)
     least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / MINIMA)
     source = docs.select(F.col(id_col).cast("long").alias("q_id"), F.col(text_col).alias("q_text"))
     signed = stage(spread(source).mapInArrow(partial(_sign, words=words), SIGNED), "mh-signed")
     members = signed.filter("n > 0 and q_id is not null")
-    reps = stage(members.groupBy("class").agg(F.min("q_id").alias("rep")), "mh-reps")
-    classes = members.join(reps.withColumnRenamed("class", "r_class"), (F.col("class") == F.col("r_class")) & (F.col("q_id") == F.col("rep"))).select("rep", "class", "sig")
-    classes = stage(classes, "mh-classes")
+    classes = stage(members.groupBy("class").agg(F.min("q_id").alias("rep"), F.max("sig").alias("sig")), "mh-classes")  # a class has one signature
 
     prefixes = stage(classes.select("rep", "sig").mapInArrow(_prefixes, "rep long, tree int, prefix long"), "mh-prefixes")
     shared = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("prefix")
@@ -286,44 +332,49 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     offers = near.select(F.col("a").alias("x"), "a", "b", "score").unionByName(near.select(F.col("b").alias("x"), "a", "b", "score"))
     first = offers.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
-    touched = stage(regions.groupBy("rep").agg(F.count(F.lit(1)).alias("m")), "mh-touched")
+    seen = stage(regions.select("rep").distinct(), "mh-touched")
     with settings(spark, BLOOM):
-        texts = stage(source.join(touched.filter("m > 0"), F.col("q_id") == F.col("rep")).select("rep", "q_text"), "mh-texts")
+        found = source.join(seen, F.col("q_id") == F.col("rep")).select("rep", "q_text").withColumn("q_digest", F.sha2("q_text", 256))
+        texts = stage(found.dropDuplicates(["rep", "q_digest"]).drop("q_digest"), "mh-texts")
+    touched = texts.select("rep", F.coalesce(F.octet_length("q_text"), F.lit(0)).cast("long").alias("size"))
 
     one = texts.select(F.col("rep").alias("a"), F.col("q_text").alias("ta"))
     two = texts.select(F.col("rep").alias("b"), F.col("q_text").alias("tb"))
     both = first.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    good = stage(both.mapInArrow(partial(_confirm, words=words, percent=percent), "a long, b long"), "mh-links")
-    roots = components(good, "a", "b")
-
-    rows = _cut(stage(_labelled(roots, regions, "rep"), "mh-labelled")).repartition("key").sortWithinPartitions("key")
-    pairs = stage(rows.mapInArrow(partial(_candidates, least=least), "a long, b long").distinct(), "mh-candidates")
-    family = components(pairs, "a", "b")
-    family = stage(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("label"), F.col("root").alias("key")), "mh-families")
-    members = stage(_labelled(roots, touched.select("rep"), "rep").join(family, "label").select("key", "rep", "label"), "mh-members")
-    sizes = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "mh-sizes")
-    sized = members.join(sizes, "key")
-    parts = [sized.filter(F.col("m") <= REGION).select("key", "rep", "label", F.lit(-1).alias("side"))]
-    if not sizes.filter(F.col("m") > REGION).isEmpty():
-        parts += _blocked(sized.filter(F.col("m") > REGION))
-    rows = _union(parts).join(texts, "rep").select("key", "rep", "label", "q_text", "side").repartition("key").sortWithinPartitions("key")
-    more = stage(rows.mapInArrow(partial(_family_links, words=words, percent=percent), "a long, b long"), "mh-links")
+    links = stage(both.mapInArrow(partial(_confirm, words=words, percent=percent), "a long, b long"), "mh-links")
+    roots = components(links, "a", "b")
+
+    labelled = stage(_labelled(roots, regions, "rep").withColumnRenamed("prefix", "key"), "mh-labelled")
+    sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    sizes = stage(sizes.filter("l0 <> l1").select("key", "m"), "mh-sizes")
+    big = sizes.filter(F.col("m") > REGION)
+    flat = lambda t: t.select("key", "rep", "label", "marks", F.lit(-1).alias("side"))
+    rows, large = flat(labelled.join(sizes.filter(F.col("m") <= REGION).select("key"), "key")), not big.isEmpty()
+    if large:
+        rows = rows.unionByName(flat(_deeper(labelled, big)))
+    more = _links(rows, texts, roots, touched, words, percent, least)
     if not more.isEmpty():
-        roots = components(good.unionByName(more), "a", "b")
-    classed = signed.join(reps, "class", "left").select("q_id", "n", "class", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
-    return classed, roots
+        links = links.unionByName(more)
+        roots = components(links, "a", "b")
+    if large:
+        left = stage(_labelled(roots, regions.withColumnRenamed("prefix", "key").join(big.select("key"), "key"), "rep").withColumn("size", F.lit(0)), "mh-labelled")
+        more = _links(_blocked(left, "marks"), texts, roots, touched, words, percent, least)
+        if not more.isEmpty():
+            roots = components(links.unionByName(more), "a", "b")
+    known = classes.select("class", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", "rep", F.coalesce("root", "rep").alias("root"))
+    return signed.select("q_id", "n", "class").join(known, "class", "left")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (least id reachable), kept."""
-    classed, roots = link(docs, id_col, text_col, words, percent)
-    joined = classed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("q_id").isNotNull(), F.coalesce("root", "rep", "q_id"))
-    out = joined.select(F.col("q_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    linked = link(docs, id_col, text_col, words, percent)
+    component = F.when(F.col("q_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("root", "q_id")).otherwise(F.col("q_id")))
+    out = linked.select(F.col("q_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: one of each component, and all without an id."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col(id_col).alias("q_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("q_gone"), "left_anti")
+    """The documents that stay, with all their columns: one of each component, and all without an id. Rows that share the id of one that goes, go."""
+    name = fresh(docs, "q_gone")
+    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -45,6 +45,17 @@ def _table(name: str) -> np.ndarray:
     return out
 
 
+def _bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of all rows start and end."""
+    inside = ~_table("blank")[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    full = offsets[1:] > offsets[:-1]
+    before[offsets[:-1][full]] = False
+    after[offsets[1:][full] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of STATS for each text."""
     n = len(offsets) - 1
@@ -57,7 +68,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for name in _KIND:
         s = sums(_table(name)[data])
         col[name][:] = (s[offsets[1:]] - s[offsets[:-1]]) / per
-    hashes, starts, ends, rows = words(data, offsets)
+    (hashes, _), rows = words(data, offsets)
+    starts, ends = _bounds(data, offsets)
     count = np.diff(rows)
     many = np.maximum(1, count)
     col["n_words"][:] = count
@@ -241,7 +253,8 @@ def train(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     """table: what stats() gives. Learns from labelled rows that are not held out."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("q_lid"), F.col(label_col).cast("double").alias("q_y"))
     sample = known.withColumn("q_h", F.xxhash64("q_lid")).orderBy("q_h", "q_lid", "q_y").limit(SAMPLE)
-    got = table.join(sample, F.col("q_id") == F.col("q_lid")).select("q_lid", "q_y", *STATS).toArrow()
+    rows = table.join(sample, F.col("q_id") == F.col("q_lid"))  # more than the sample where ids of documents repeat
+    got = rows.orderBy("q_h", "q_lid", "q_y", *STATS).limit(SAMPLE).select("q_lid", "q_y", *STATS).toArrow()
     x = np.stack([got.column(s).to_numpy() for s in STATS], axis=1)
     y, ids = got.column("q_y").to_numpy(), got.column("q_lid").to_numpy()
     order = np.lexsort((*x.T, y, ids))

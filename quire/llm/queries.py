@@ -43,7 +43,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"))
+    return url_filter.judge(_table(spark, sf_dir, "pages")).drop("log_odds")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,38 @@ def _spans_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _url_sql() -> str:
+    """Rules, then the ratio of the two character models: n-grams of each size with the sums of their contexts, smoothed from the shortest on."""
+    order, signs = url_filter.ORDER, url_filter.SIGNS
+    fits = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for _, r in sorted(url_filter.RULES, key=lambda r: -len(r[1])))
+    of = " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in url_filter.RULES)
+    tables, joins, logs = [], [], {1: f"{1 / signs!r}", 0: f"{1 / signs!r}"}
+    for size in range(1, order + 2):
+        tail, head = (f"substr(gram, {order + 2 - size}, {n})" for n in (size, size - 1))
+        tables.append(f"g{size} AS (SELECT {tail} AS g, any_value({head}) AS c, sum(n1) AS n1, sum(n0) AS n0 FROM counts GROUP BY 1)")
+        tables.append(f"c{size} AS (SELECT c, sum(n1) AS t1, sum(n0) AS t0, count(*) FILTER (n1 > 0) AS k1, count(*) FILTER (n0 > 0) AS k0 FROM g{size} GROUP BY c)")
+        joins.append(f"LEFT JOIN g{size} ON g{size}.g = {tail} LEFT JOIN c{size} ON c{size}.c = {head}")
+        for k, p in logs.items():
+            n, t, kinds = f"coalesce(g{size}.n{k}, 0)", f"coalesce(c{size}.t{k}, 0)", signs if size == 1 else f"coalesce(c{size}.k{k}, 0)"
+            logs[k] = f"CASE WHEN {t} + {kinds} > 0 THEN ({n} + {kinds} * {p}) / CAST({t} + {kinds} AS DOUBLE) ELSE {p} END"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS after FROM pages),
+h AS (SELECT page_id, u, translate(regexp_extract(after, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, CASE {fits} END AS rule FROM h),
+d AS (SELECT u, any_value(rule) AS rule, count(*) AS n, '{'^' * order}' || regexp_replace(regexp_replace(lower(u), '[0-9]', '0', 'g'), '[^a-z0./\\-_?=&%#:~+@]', '*', 'g') AS s FROM r GROUP BY u),
+x AS (SELECT u, n, CASE rule {of} END AS v, unnest(list_transform(range(1, length(s) - {order - 1}), lambda k: substr(s, k, {order + 1}))) AS gram FROM d),
+counts AS (SELECT gram, CAST(sum(CASE WHEN v = 'allow' THEN n ELSE 0 END) AS DOUBLE) AS n1, CAST(sum(CASE WHEN v = 'block' THEN n ELSE 0 END) AS DOUBLE) AS n0 FROM x WHERE v IS NOT NULL GROUP BY gram),
+{", ".join(tables)},
+w AS (SELECT DISTINCT gram FROM x), ratio AS (SELECT gram, ln({logs[1]}) - ln({logs[0]}) AS d FROM w {" ".join(joins)}),
+scores AS (SELECT u, any_value(v) AS v, any_value(n) AS n, avg(d) AS score FROM x JOIN ratio USING (gram) GROUP BY u),
+m AS (SELECT v, sum(n) AS w, sum(n * score) / sum(n) AS m, sum(n * score * score) / sum(n) AS q FROM scores WHERE v IS NOT NULL GROUP BY v),
+f AS (SELECT a.m AS am, b.m AS bm, greatest((a.w * greatest(0, a.q - a.m * a.m) + b.w * greatest(0, b.q - b.m * b.m)) / (a.w + b.w), 1e-9) AS pooled FROM m a, m b WHERE a.v = 'allow' AND b.v = 'block')
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {of} END WHEN (am - bm) / pooled * (score - (am + bm) / 2) < 0 THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN scores ON r.u = scores.u LEFT JOIN f ON true"""
+
+
 SQL = {
+    "op3_url_filter": _url_sql(),
     "op2_minhash_forest": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM d),

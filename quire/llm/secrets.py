@@ -52,11 +52,19 @@ ORDER = [r.kind for r in (*BASE, *EXTRA)]
 SPAN = "array<struct<begin:int,rank:int,finish:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """All matches of a rule as structs (begin, rank, finish), in code points."""
+    """All matches of a rule as structs (begin, rank, finish), in code points.
+
+    The running lengths are taken in pieces of about the square root of their number, as an array grows by a copy."""
     between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    sizes = F.transform(F.arrays_zip(between.alias("a"), found.alias("b"), parts.alias("c")), lambda x: F.struct(F.length(x["a"]).alias("a"), F.coalesce(F.length(x["b"]), F.lit(0)).alias("b"), F.coalesce(F.length(x["c"]), F.lit(0)).alias("c")))
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+    sizes = F.transform(F.arrays_zip(between.alias("a"), found.alias("b"), parts.alias("c")), lambda x: F.struct(size(x["a"]).alias("a"), size(x["b"]).alias("b"), size(x["c"]).alias("c")))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
 
     def step(acc, x):
@@ -64,7 +72,18 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
         one = F.array(F.struct(begin.alias("begin"), F.lit(rank).alias("rank"), (begin + x["b"]).alias("finish")))
         return F.struct((begin + x["b"]).alias("pos"), F.when((x["b"] > 0) & (x["c"] >= rule.least), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.gate), F.aggregate(sizes, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def pieces(every):
+        width = F.ceil(F.sqrt(F.size(every))).cast("int")
+        at = F.sequence(F.lit(1), F.size(every), width)
+        return F.transform(at, lambda k: F.aggregate(F.slice(every, k, width), start, step))
+
+    def placed(some):
+        starts = F.aggregate(some, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["pos"])))
+        moved = lambda x, by: F.transform(x["out"], lambda s: F.struct((s["begin"] + by).alias("begin"), s["rank"].alias("rank"), (s["finish"] + by).alias("finish")))
+        return _let(starts, lambda s: F.flatten(F.transform(some, lambda x, k: moved(x, F.get(s, k)))))
+
+    every = _let(sizes, lambda x: _let(pieces(x), placed))
+    return F.when(text.rlike(rule.gate), every.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 class BlobLedger:

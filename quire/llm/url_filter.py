@@ -14,8 +14,9 @@ while it has at most SENT rows, else joined.
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule, and is
 scored on what text it has. A rule fits its host and subdomains where the path starts with the
 rule's; the longest rule wins. If no URL is allowed by rule, or none blocked, the models decide
-nothing and the verdict is allow; log-odds of 0 are allowed. Repeated rows each get a row; an
-empty table gives an empty result; other columns are not looked at.
+nothing and the verdict is allow; log-odds of 0 are allowed. Repeated rows each get a row, null
+ids too; an empty table gives an empty result; other columns are not looked at. A long URL is
+scored whole: it has one row for each of its characters while it is scored.
 """
 
 from __future__ import annotations
@@ -109,7 +110,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = host_path(F.col("q_url"))
     urls = rows.groupBy("q_url").agg(F.count(F.lit(1)).alias("n")).withColumn("verdict", rule_of(host, path, rules)["verdict"])
     odds = scored(stage(urls, "url-distinct"))
-    rows = rows.join(odds, "q_url", "left").withColumns({"host": host, "path": path})
+    # URLs without a character have no score: they get keys that meet nothing, so that they don't all go to one task
+    key = F.when(F.col("q_url") == "", F.concat(F.lit("\0"), F.pmod(F.xxhash64("q_id"), F.lit(4096)).cast("string"))).otherwise(F.col("q_url"))
+    rows = rows.withColumn("q_key", key).join(odds.withColumnRenamed("q_url", "q_key"), "q_key", "left").withColumns({"host": host, "path": path})
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("log_odds") < 0, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select(F.col("q_id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("hit").isNull(), F.col("log_odds")).alias("log_odds"))

@@ -5,14 +5,22 @@ once, as a stream, writes every record as a gzip member of its own, and notes th
 in a sidecar index (a Parquet table beside the archives); record bodies pass through in chunks,
 so memory doesn't follow record or file size. The reader opens members by the index alone.
 
+Archives of any writer are taken: all record types, record ids of any form, no other headers than
+the type and the length. The payload is the block, less the HTTP header where the content type is
+application/http; its size and SHA-1 are measured as it passes through. A revisit without payload
+has the digest its header names, and the size of the record it refers to, as far as its own
+writer's private header tells. An archive that ends within a record or can't be read gives the
+records up to there and one row with an error.
+
 Archives lie in the shared folder and are opened through pyarrow's file systems, by URI. File
 names are new for every attempt and only those of tasks that succeeded get into the index, so
 lost executors and repeated tasks leave no wrong records.
 
-Defined results: a null payload is empty; records with equal payloads of at least ``least`` bytes
-are revisits of the one with the smallest id, shorter ones are all responses; rows that repeat id
-and payload are responses each; null ids come last. A null URL is written as an empty target.
-Empty tables give empty results; other columns are not looked at.
+Defined results of ``archive``: a null payload is empty; records with equal payloads of at least
+``least`` bytes are revisits of the one with the smallest id, shorter ones are all responses; rows
+that repeat id and payload are responses each; null ids come last; ids are integers, others raise
+a ValueError. A null URL is written as an empty target. Empty tables give empty results; other
+columns are not looked at. A page is held whole by its task, and no longer.
 """
 
 from __future__ import annotations
@@ -25,17 +33,20 @@ from functools import partial
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_session, new_path, stage
+from .common import arrow_session, integral, new_path, stage
 
 CHUNK = 1 << 20
 #: Bytes of records after which a task begins another archive.
 ARCHIVE = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-INDEX = "file string, offset long, length long, page_id long, record_type string, refers_to long, uri string, payload_bytes long, payload_digest string"
+#: What an index row holds; page_id and refers_to are the numbers of ids that this writer makes.
+INDEX = "file string, offset long, length long, record_id string, record_type string, refers_to_id string, uri string, payload_bytes long, payload_digest string, error string"
+#: Revisits that go to all tasks, as id, digest and reference (under a hundred bytes each); more are joined by id.
+SENT = 200_000
 
 
 def _open(uri: str, mode: str):
@@ -52,9 +63,9 @@ def _urn(page) -> str:
     return f"<urn:quire:page:{'' if page is None else page}>"
 
 
-def _page(urn: str) -> int | None:
-    number = urn.strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+def page_of(record_id: Column) -> Column:
+    """The page of a record id that this writer made, else null."""
+    return F.regexp_extract(record_id, "^<urn:quire:page:(-?[0-9]+)>$", 1).try_cast("long")
 
 
 def record(page, url: str | None, payload: bytes, digest: str, response: bool, refers_to) -> bytes:
@@ -100,7 +111,7 @@ class Inflated:
     """A gzip file of one or more members as one stream of bytes."""
 
     def __init__(self, source):
-        self.source, self.unpacker, self.held = source, zlib.decompressobj(31), b""
+        self.source, self.unpacker, self.held, self.at = source, zlib.decompressobj(31), bytearray(), 0
 
     def more(self) -> bool:
         """Inflates one more chunk; False at the end."""
@@ -111,28 +122,32 @@ class Inflated:
         raw = raw or self.source.read(CHUNK)
         if not raw:
             return False
+        if self.at:
+            del self.held[: self.at]
+            self.at = 0
         self.held += self.unpacker.decompress(raw, CHUNK)
         return True
 
     def until(self, mark: bytes) -> bytes | None:
         """Bytes up to and with mark; None at the end of the stream."""
-        at = 0
-        while (found := self.held.find(mark, at)) < 0:
-            at = max(0, len(self.held) - len(mark))
+        seen = 0
+        while (found := self.held.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.held) - self.at - len(mark))
             if not self.more():
-                if self.held.strip(b"\r\n\0"):
+                if self.held[self.at :].strip(b"\r\n\0"):
                     raise ValueError("the archive ends within a record")
                 return None
-        found += len(mark)
-        out, self.held = self.held[:found], self.held[found:]
+        out = bytes(self.held[self.at : found + len(mark)])
+        self.at = found + len(mark)
         return out
 
     def take(self, n: int):
         """n bytes in chunks."""
         while n:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise ValueError("the archive ends within a record")
-            part, self.held = self.held[:n], self.held[n:]
+            part = bytes(self.held[self.at : self.at + n])
+            self.at += len(part)
             n -= len(part)
             if part:
                 yield part
@@ -145,37 +160,70 @@ def headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+class Payload:
+    """Measures a payload as its block passes through: an HTTP header, if there is one, doesn't count."""
+
+    def __init__(self, h: dict[str, str]):
+        self.h, self.size, self.sha, self.head = h, 0, hashlib.sha1(), b"" if h.get("content-type", "").lower().startswith("application/http") else None
+
+    def add(self, part: bytes) -> None:
+        if self.head is not None:
+            self.head, gap, part = (self.head + part).partition(b"\r\n\r\n")
+            if not gap:
+                return
+            self.head = None
+        self.size += len(part)
+        self.sha.update(part)
+
+    def found(self) -> tuple:
+        """(record_id, record_type, refers_to_id, uri, payload_bytes, payload_digest)."""
+        h, size, digest = self.h, self.size, base64.b32encode(self.sha.digest()).decode()
+        if h.get("warc-type") == "revisit" and not size:
+            own = h.get("x-payload-length", "")
+            size, digest = int(own) if own.isdigit() else None, h.get("warc-payload-digest", "").rpartition(":")[2] or None
+        return h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), h.get("warc-target-uri"), size, digest
+
+
+def _members(uri: str, folder: str, level: int):
+    """Index rows of one file: it is inflated once and rewritten member by member."""
+    at, name = 0, f"{folder}/record-{uuid.uuid4().hex}.warc.gz"
+    try:
+        with _open(uri, "r") as source, _open(name, "w") as out:
+            stream = Inflated(source)
+            while (head := stream.until(b"\r\n\r\n")) is not None:
+                if not (head := head.lstrip(b"\r\n\0")):
+                    continue  # what ends the record before
+                h, packer, start = headers(head), zlib.compressobj(level, zlib.DEFLATED, 31), at
+                payload, parts = Payload(h), [packer.compress(head)]
+                for part in stream.take(int(h["content-length"])):
+                    payload.add(part)
+                    parts.append(packer.compress(part))
+                    if sum(map(len, parts)) >= CHUNK:
+                        at += sum(map(len, parts))
+                        out.write(b"".join(parts))
+                        parts = []
+                parts.append(packer.compress(b"\r\n\r\n") + packer.flush())
+                at += sum(map(len, parts))
+                out.write(b"".join(parts))
+                yield name, start, at - start, *payload.found(), None
+    except (ValueError, KeyError, OSError, zlib.error) as e:
+        yield uri, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]
+
+
 def _normalise(batches, folder: str, level: int):
-    """File names to index rows: each file is inflated once and rewritten member by member."""
+    """File names to index rows."""
     for batch in batches:
+        rows = []
         for uri in batch.column(0).to_pylist():
-            rows, at, name = [], 0, f"{folder}/record-{uuid.uuid4().hex}.warc.gz"
-            with _open(uri, "r") as source, _open(name, "w") as out:
-                stream = Inflated(source)
-                while (head := stream.until(b"\r\n\r\n")) is not None:
-                    head = head.lstrip(b"\r\n")
-                    h, packer, start = headers(head), zlib.compressobj(level, zlib.DEFLATED, 31), at
-                    parts = [packer.compress(head)]
-                    for part in stream.take(int(h["content-length"])):
-                        parts.append(packer.compress(part))
-                        if sum(map(len, parts)) >= CHUNK:
-                            at += sum(map(len, parts))
-                            out.write(b"".join(parts))
-                            parts = []
-                    b"".join(stream.take(4))
-                    parts.append(packer.compress(b"\r\n\r\n") + packer.flush())
-                    at += sum(map(len, parts))
-                    out.write(b"".join(parts))
-                    refers = _page(h["warc-refers-to"]) if "warc-refers-to" in h else None
-                    rows.append((name, start, at - start, _page(h["warc-record-id"]), h["warc-type"], refers, h["warc-target-uri"], int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")))
-                    if len(rows) >= 10_000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
-
-
-_ARROW = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            for row in _members(uri, folder, level):
+                rows.append(row)
+                if len(rows) >= 10_000:
+                    yield _batch(rows)
+                    rows = []
+        yield _batch(rows)
+
+
+_ARROW = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -183,44 +231,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _read(batches):
-    """Index rows to what their members hold; payloads of responses are measured and digested anew."""
+    """Index rows to what their members hold, measured anew."""
     held, source = None, None
     for batch in batches:
         out = []
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r[-1] is not None:
+                out.append(r)
+                continue
             if r[0] != held:
                 if source is not None:
                     source.close()
                 held, source = r[0], _open(r[0], "r")
-            raw = zlib.decompress(source.read_at(r[2], r[1]), 31)
-            head, _, block = raw.partition(b"\r\n\r\n")
+            head, _, block = zlib.decompress(source.read_at(r[2], r[1]), 31).partition(b"\r\n\r\n")
             h = headers(head)
-            if h["warc-type"] == "response":
-                payload = block[: int(h["content-length"])].partition(b"\r\n\r\n")[2]
-                size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            else:
-                size, digest = int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")
-            refers = _page(h["warc-refers-to"]) if "warc-refers-to" in h else None
-            out.append((*r[:3], _page(h["warc-record-id"]), h["warc-type"], refers, h["warc-target-uri"], size, digest))
+            payload = Payload(h)
+            payload.add(block[: int(h["content-length"])])
+            out.append((*r[:3], *payload.found(), None))
         yield _batch(out)
     if source is not None:
         source.close()
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
-    """Writes one record per page to monolithic archives in folder; gives (file, n, size)."""
+    """Writes one record per page to monolithic archives in folder; gives (file, n, size).
+
+    Only ids and digests are shuffled to find the revisits; pages stay where they are read while
+    the revisits are few enough to go to all tasks, else both are joined by id."""
+    integral(pages, id_col)
     arrow_session(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("q_id"), F.col(url_col).alias("q_url"), html.alias("q_html"), F.sha2(html, 256).alias("q_digest"))
-    first = rows.filter(F.octet_length("q_html") >= least).groupBy("q_digest").agg(F.min("q_id").alias("q_first"), F.lit(True).alias("q_long"))
-    tagged = rows.join(first, "q_digest", "left")
-    response = F.col("q_long").isNull() | F.col("q_id").eqNullSafe(F.col("q_first"))
-    tagged = tagged.select("q_id", "q_url", "q_html", response.alias("response"), F.when(~response, F.col("q_first")).alias("refers_to"))
+    keys = stage(rows.filter(F.octet_length("q_html") >= least).select("q_id", "q_digest"), "warc-keys")
+    groups = keys.groupBy("q_digest").agg(F.min("q_id").alias("q_first"), F.max("q_id").alias("q_last"), F.count(F.lit(1)).alias("n"), F.count("q_id").alias("named"))
+    groups = groups.filter("q_first < q_last or (named > 0 and named < n)").select("q_digest", "q_first")
+    again = keys.join(groups, "q_digest").filter(~F.col("q_id").eqNullSafe(F.col("q_first")))
+    again = stage(again.select(F.col("q_id").alias("r_id"), F.col("q_digest").alias("r_digest"), F.col("q_first").alias("refers_to")).distinct(), "warc-revisits")
+    again = F.broadcast(again) if again.count() <= SENT else again
+    tagged = rows.join(again, F.col("q_id").eqNullSafe(F.col("r_id")) & (F.col("q_digest") == F.col("r_digest")), "left")
+    tagged = tagged.select("q_id", "q_url", "q_html", F.col("r_digest").isNull().alias("response"), "refers_to")
     return stage(tagged.mapInArrow(partial(_write, folder=folder), "file string, n long, size long"), "warc-files")
 
 
 def normalise(files: DataFrame, folder: str, level: int = 5) -> DataFrame:
     """files: (file, ...) of gzip archives, of one or many members. Writes them record by record into folder, and the index beside them; gives the index."""
+    arrow_session(files.sparkSession)
     spark = files.sparkSession
     n = files.count()
     dealt = files.select("file").repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism, 10_000)))
@@ -234,6 +289,6 @@ def read(index: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
-    """Pages to monolithic archives, to archives by record with an index, and back to rows (INDEX)."""
+    """Pages to monolithic archives, to archives by record with an index, and back to rows: INDEX, with page_id and refers_to."""
     folder = folder or new_path(pages.sparkSession, "warc")
-    return read(normalise(write(pages, folder, **columns), folder))
+    return read(normalise(write(pages, folder, **columns), folder)).withColumns({"page_id": page_of(F.col("record_id")), "refers_to": page_of(F.col("refers_to_id"))})

@@ -10,7 +10,7 @@ tiktoken = pytest.importorskip("tiktoken")
 import corpus_pipeline  # noqa: E402
 from quire.llm import langid  # noqa: E402
 
-from .test_operators import ASCII_LOWER, brute_near  # noqa: E402
+from .test_operators import ASCII_LOWER, brute_near, odd  # noqa: E402, F401
 
 
 def brute_contaminated(text, items):
@@ -32,7 +32,7 @@ def brute_contaminated(text, items):
             now = np.maximum(np.maximum(now, last - 1), 0)
             last = np.maximum.accumulate(now + step) - step
             best = max(best, last.max(initial=0))
-        if own and best >= 0.4 * len(own) and best >= min(6, len(own)):
+        if len(own) >= 6 and ((best >= 0.4 * len(own) and best >= 6) or best >= 50):
             return True
     return False
 
@@ -64,3 +64,20 @@ def test_stages_keep_the_columns(spark, sf_dir):
         out = function(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() == 0
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.STAGES[0][0]] == [5, "language_id"]
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd):  # noqa: F811
+    """Nulls, empty and long texts, repeated rows and columns whose names clash: every stage keeps the columns, and what it says it keeps."""
+    n, columns = odd.count(), odd.columns
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    out = {name: function(spark, odd, sf_dir) for name, function in corpus_pipeline.STAGES}
+    for name in list(out)[:-1]:
+        assert out[name].columns == columns, name
+    assert out["language_id"].filter("text is null or text in ('', '  \n\t ')").count() == 0
+    assert set(ids(out["exact_dedup"])) == {(False, k) for k in (1, 2, 4, 5, 7, 9, 10, 99)} | {(True, 0)}
+    assert out["minhash_forest"].filter("doc_id is null").count() == 1
+    assert out["decontamination"].count() == n
+    last = out["byte_bpe"].collect()
+    assert len(last) == n and {r["n_tokens"] for r in last if r["doc_id"] in (0, 1)} == {0}
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, odd.limit(0), sf_dir).count() == 0, name
