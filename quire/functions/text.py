@@ -126,3 +126,80 @@ def column_spec(spec: Column) -> tuple[Column, Column, Column]:
 def content_key(*columns: Column) -> Column:
     """A digest that is equal for equal values and nothing else."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+# Spellings of switches, and properties that are numbers.
+ON, OFF, NUMBERS = ("1", "on", "true"), ("0", "off", "false"), ("count",)
+
+
+def switch_value(value: Column, prop: Column) -> Column:
+    """on and off for their spellings, trimmed numbers for numeric properties, all else as it is."""
+    plain = F.lower(F.trim(value))
+    return F.when(prop.isin(*NUMBERS), F.trim(value)).when(plain.isin(*ON), "on").when(plain.isin(*OFF), "off").otherwise(value)
+
+
+def math_text(text: Column) -> Column:
+    """Text of mathematics with one glyph for equals: minus signs, dots, primes; no white space."""
+    return F.regexp_replace(F.translate(text, "-·’'", "−⋅′′"), r"\s+", "")
+
+
+def spelled_spaces(text: Column) -> Column:
+    """Blanks after a blank as control spaces, so that all of them show."""
+    return F.regexp_replace(text, "(?<= ) ", r"\\ ")
+
+
+def spelled_hyphens(text: Column) -> Column:
+    """Hyphens after a hyphen kept apart, so that they don't become dashes."""
+    return F.regexp_replace(text, "(?<=-)-", "{}-")
+
+
+# Counters of list labels and the number formats they stand for.
+COUNTERS = {"arabic": "decimal", "alph": "lowerLetter", "Alph": "upperLetter", "roman": "lowerRoman", "Roman": "upperRoman"}
+LEVEL_NAMES = ("enumi", "enumii", "enumiii", "enumiv", "enumv", "enumvi", "enumvii", "enumviii", "enumix")
+
+
+def label_format(label: Column) -> Column:
+    """Number format of a list label: by its last counter; a label without one is a bullet, an empty one none."""
+    names = F.create_map(*[F.lit(x) for pair in COUNTERS.items() for x in pair])
+    found = F.regexp_extract_all(label, F.lit(r"\\(arabic|alph|Alph|roman|Roman)(?:\*|\{enum[ivx]+\})"), F.lit(1))
+    return F.when(F.coalesce(label, F.lit("")) != "", F.coalesce(F.try_element_at(names, F.try_element_at(found, F.lit(-1))), F.lit("bullet")))
+
+
+def word_label(label: Column, level: Column) -> Column:
+    """A list label with Word's level places: counters of a named level by its number, others by level (from 0)."""
+    out = label
+    for k, name in enumerate(LEVEL_NAMES):
+        out = F.regexp_replace(out, rf"\\(?:arabic|alph|Alph|roman|Roman)\{{{name}\}}", f"%{k + 1}")
+    return F.regexp_replace(out, F.lit(r"\\(?:arabic|alph|Alph|roman|Roman)\*"), F.concat(F.lit("%"), (level + 1).cast("string")))
+
+
+def latex_label(format_: Column, template: Column) -> Column:
+    """The label of a Word level: its template with the places of levels as counters; a bullet's sign as it is. The first place has the level's own format, as have all."""
+    names = F.create_map(*[F.lit(x) for c, f in COUNTERS.items() for x in (f, c)])
+    counter = F.coalesce(F.try_element_at(names, format_), F.lit("arabic"))
+    out = template
+    for k, name in reversed(list(enumerate(LEVEL_NAMES))):
+        out = F.replace(out, F.lit(f"%{k + 1}"), F.concat(F.lit("\\"), counter, F.lit(f"{{{name}}}")))
+    return F.when(format_ == "bullet", template).otherwise(out)
+
+
+def field_parts(code: Column) -> tuple[Column, Column]:
+    """Kind and target of a field code: REF, PAGEREF and SEQ have a word, HYPERLINK a quoted URL whose quotes are doubled."""
+    kind = F.regexp_extract(code, r"^\s*(REF|PAGEREF|HYPERLINK|SEQ)\b", 1)
+    word = F.regexp_extract(code, r"^\s*[A-Z]+\s+([^\s]+)", 1)
+    url = F.replace(F.regexp_extract(code, r'^\s*HYPERLINK\s+"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
+    target = F.when(kind == "HYPERLINK", url).otherwise(word)
+    return F.when(kind != "", kind), F.when((kind != "") & (target != ""), target)
+
+
+#: Names of bookmarks that are made by programs.
+INTERNAL_BOOKMARK = r"^(_GoBack|_Toc[0-9]+|_Hlk[0-9]+|X[0-9a-f]{20,})$"
+
+
+def authored_bookmark(name: Column) -> Column:
+    return ~name.rlike(INTERNAL_BOOKMARK)
+
+
+def plain_style(name: Column) -> Column:
+    """Whether a style's display name is that of ordinary text."""
+    return F.lower(F.trim(name)).isin("normal", "body text", "default paragraph style", "no spacing")

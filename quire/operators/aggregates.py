@@ -85,3 +85,37 @@ def verdict(*rules: tuple[Column, str], default: str = "degradation") -> Column:
 def verdict_rollup(findings: DataFrame, by: list[str], verdict_col: str = "verdict") -> DataFrame:
     """A column for each verdict with its number."""
     return findings.groupBy(*by).pivot(verdict_col, list(VERDICTS)).count().na.fill(0, list(VERDICTS))
+
+
+def edge_signature(cells: DataFrame, table: list[str], span: str, merge: str, fill: str) -> DataFrame:
+    """What a table's cells have in common: max_span, n_merged, fills (sorted, each once), n_cells."""
+    return cells.groupBy(*table).agg(F.max(F.greatest(F.col(span), F.lit(1))).alias("max_span"), F.count_if(F.col(merge) == "restart").alias("n_merged"), F.array_sort(F.collect_set(fill)).alias("fills"), F.count(F.lit(1)).alias("n_cells"))
+
+
+# Run properties that word processors write by themselves.
+NOISE = ("bCs", "iCs", "szCs", "lang", "noProof")
+
+
+def noise_count(tags: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """n_noise: bookkeeping properties of every document, 0 too."""
+    return tags.groupBy(*by).agg(F.count_if(F.col(tag).isin(*NOISE)).alias("n_noise"))
+
+
+def free_suffix(names: DataFrame, base: str, suffix: str) -> DataFrame:
+    """The least suffix from 0 that no name of a base has: where the first gap in its suffixes is."""
+    held = names.select(base, suffix).distinct().filter(F.col(suffix) >= 0)
+    w = Window.partitionBy(base).orderBy(suffix)
+    first = held.withColumn("q_gap", F.col(suffix) - (F.row_number().over(w) - 1)).filter("q_gap = 0").groupBy(base).agg(F.count(F.lit(1)).alias("free"))
+    return names.select(base).distinct().join(first, base, "left").select(base, F.coalesce("free", F.lit(0)).alias("free"))
+
+
+def layer_issues(edges: DataFrame, forbidden: DataFrame, owners: DataFrame) -> DataFrame:
+    """(code, subject) of a module graph: edges (source, target) between layers that are forbidden (source, target), modules that reach themselves, names with several owners (name, owner)."""
+    from .joins import closure
+
+    bad = edges.join(forbidden, ["source", "target"]).select(F.lit("forbidden-edge").alias("code"), F.concat_ws(">", "source", "target").alias("subject")).distinct()
+    steps = edges.select("source", "target").distinct()
+    reached = closure(steps, steps.select(F.col("source").alias("root")).distinct())
+    cycles = reached.join(steps.select(F.col("source").alias("node"), F.col("target").alias("root")), ["node", "root"]).select(F.lit("cycle").alias("code"), F.col("root").cast("string").alias("subject")).distinct()
+    twice = owners.groupBy("name").agg(F.count_distinct("owner").alias("n")).filter("n > 1").select(F.lit("several-owners").alias("code"), F.col("name").cast("string").alias("subject"))
+    return bad.unionByName(cycles).unionByName(twice)

@@ -7,6 +7,9 @@ rows or columns (ok, error, offset, token).
 
 from __future__ import annotations
 
+import difflib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterable
 from functools import partial
 
@@ -90,16 +93,24 @@ def math_tokens(df: DataFrame, keys: list[str], tex: str) -> DataFrame:
 
 def _nodes(tex):
     try:
-        yield from ((*r[:6], list(r[6].items())) for r in mathtex.flat(mathtex.parse(tex or "")[0]))
+        rows = list(mathtex.flat(mathtex.parse(tex or "")[0]))
     except (mathtex.MathError, RecursionError):
         return
+    ends = list(range(1, len(rows) + 1))
+    for k in range(len(rows) - 1, 0, -1):
+        up = rows[k][1]
+        if up is not None:
+            ends[up] = max(ends[up], ends[k])
+    shown = ["" if r[4] == "space" else r[5] or "" for r in rows]
+    for r, end in zip(rows, ends, strict=True):
+        yield *r[:6], list(r[6].items()), end, "".join(shown[r[0] : end])
 
 
-NODE = "node_id int, parent_id int, slot string, ord int, type string, value string, props map<string,string>"
+NODE = "node_id int, parent_id int, slot string, ord int, type string, value string, props map<string,string>, end_id int, span string"
 
 
 def math_nodes(df: DataFrame, keys: list[str], tex: str) -> DataFrame:
-    """The tree of every zone that parses, as rows: a subtree is a range of node_id."""
+    """The tree of every zone that parses, as rows: a subtree is the node_ids from its root's to before end_id, span what it shows without spaces."""
     return expanded(df, keys, [tex], _nodes, NODE)
 
 
@@ -183,15 +194,59 @@ def table_cells(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return expanded(df, keys, [text], _cells, "row_no int, cell_no int, grid_col int, col_span int, row_span int, shading string, cell string")
 
 
-def _diagnostics(text, fragment):
-    for d in doctex.diagnostics(text or "", fragment or "block"):
-        before = (text or "")[: d.offset]
-        yield d.code, d.message, d.offset, before.count("\n") + 1, len(before) - before.rfind("\n")
+def _findings(text, fragment):
+    found = doctex.findings(text or "", fragment or "block")
+    for d, at in zip(found, doctex.line_column(text or "", [d.offset for d in found]), strict=True):
+        yield d.code, d.subject, d.offset, *at
 
 
 def validate(df: DataFrame, keys: list[str], text: str, fragment: str) -> DataFrame:
-    """code, message, offset, line, col of everything that breaks the profile."""
-    return expanded(df, keys, [text, fragment], _diagnostics, "code string, message string, offset int, line int, col int")
+    """code, subject, offset, line, col of everything that breaks the profile."""
+    return expanded(df, keys, [text, fragment], _findings, "code string, subject string, offset int, line int, col int")
+
+
+def _with_resources(text, fragment, resources):
+    found = doctex.findings(text or "", fragment or "block", set(resources or ()))
+    for d, at in zip(found, doctex.line_column(text or "", [d.offset for d in found]), strict=True):
+        yield d.code, d.subject, d.offset, *at
+
+
+def validate_resources(df: DataFrame, keys: list[str], text: str, fragment: str, resources: str) -> DataFrame:
+    """The same, and images that are not among the array of paths resources."""
+    return expanded(df, keys, [text, fragment, resources], _with_resources, "code string, subject string, offset int, line int, col int")
+
+
+def check_files(df: DataFrame, keys: list[str], text: str, fragment: str) -> DataFrame:
+    """(keys, n_findings, ok, first_code, first_line): the verdict on each text, clean ones too."""
+    found = validate(df, keys, text, fragment).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_findings"), F.min(F.struct("offset", "code", "line")).alias("f"))
+    out = df.select(*keys).join(found, keys, "left")
+    return out.select(*keys, F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.col("f").isNull().alias("ok"), F.col("f.code").alias("first_code"), F.col("f.line").alias("first_line"))
+
+
+def _marks(text):
+    for m in doctex.marks(text or ""):
+        yield m.kind, m.name, m.start, m.end
+
+
+def latex_marks(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """kind, name, start, end of every mark in a text: commands, edges of environments, braces, dollars, comments, verbatim parts, blank lines."""
+    return expanded(df, keys, [text], _marks, "kind string, name string, start int, end int")
+
+
+def _tokenize(text):
+    text, at = text or "", 0
+    for m in doctex.marks(text):
+        if m.start > at:
+            yield at, "text", text[at : m.start]
+        yield m.start, m.kind, text[m.start : m.end]
+        at = m.end
+    if at < len(text):
+        yield at, "text", text[at:]
+
+
+def latex_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """pos, kind, token of a whole text, nothing left out: joined in order the tokens give it again."""
+    return expanded(df, keys, [text], _tokenize, "pos int, kind string, token string")
 
 
 def object_census(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,25 +254,80 @@ def object_census(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _align(key: str, order: str, old: str):
-    import difflib
+def _increasing(places: list[int]) -> list[int]:
+    """Indexes of a longest increasing subsequence."""
+    tops, held, before = [], [], [-1] * len(places)
+    for k, x in enumerate(places):
+        i = bisect_left(tops, x)
+        before[k] = held[i - 1] if i else -1
+        if i == len(tops):
+            tops.append(x)
+            held.append(k)
+        else:
+            tops[i], held[i] = x, k
+    out, k = [], held[-1] if held else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places of values that occur once on both sides, in an order that both sides have; and, beside each, the equal values that go on from it."""
+    once = lambda x: {v: k for k, v in enumerate(x) if n[v] == 1} if (n := Counter(x)) else {}
+    x, y = once(a), once(b)
+    pairs = sorted((x[v], y[v]) for v in x.keys() & y.keys())
+    pairs = [pairs[k] for k in _increasing([j for _, j in pairs])]
+    out, last = [], (-1, -1)
+    for k, (i, j) in enumerate(pairs):
+        if i <= last[0] or j <= last[1]:
+            continue
+        back = 0
+        while i - back - 1 > last[0] and j - back - 1 > last[1] and a[i - back - 1] == b[j - back - 1]:
+            back += 1
+        limit = pairs[k + 1] if k + 1 < len(pairs) else (len(a), len(b))
+        more = 0
+        while i + more + 1 < limit[0] and j + more + 1 < limit[1] and a[i + more + 1] == b[j + more + 1]:
+            more += 1
+        out += [(i + d, j + d) for d in range(-back, more + 1)]
+        last = out[-1]
+    return out
+
+
+#: Cells of a gap between anchors up to which it is aligned in full; a larger one is replaced as a whole.
+GAP = 1_000_000
+
+
+def alignment(a: list, b: list) -> list[tuple[str, int | None, int | None]]:
+    """(op, place in a, place in b): equal, replace, delete or insert, in order. Gaps between anchors are aligned by their longest common blocks."""
+    out, last = [], (0, 0)
+    for i, j in [*anchors(a, b), (len(a), len(b))]:
+        x, y = a[last[0] : i], b[last[1] : j]
+        codes = difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if len(x) * len(y) <= GAP else [("replace", 0, len(x), 0, len(y))]
+        for tag, i1, i2, j1, j2 in codes if x or y else ():
+            both = min(i2 - i1, j2 - j1)
+            out += [(tag, last[0] + i1 + k, last[1] + j1 + k) for k in range(both)]
+            out += [("delete", last[0] + k, None) for k in range(i1 + both, i2)] + [("insert", None, last[1] + k) for k in range(j1 + both, j2)]
+        if i < len(a) and j < len(b):
+            out.append(("equal", i, j))
+        last = i + 1, j + 1
+    return out
+
 
-    import pandas as pd
+def _align(doc: list[str], key: str, order: str):
+    def work(frame):
+        import pandas as pd
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        a = frame[frame[old]].sort_values(order)[key].tolist()
-        b = frame[~frame[old]].sort_values(order)[key].tolist()
-        out = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            both = min(i2 - i1, j2 - j1)
-            out += [(tag, i1 + k, j1 + k) for k in range(both)]
-            out += [("delete", i, None) for i in range(i1 + both, i2)] + [("insert", None, j) for j in range(j1 + both, j2)]
-        return pd.DataFrame({"doc_id": [frame["doc_id"].iloc[0]] * len(out), "op": [x[0] for x in out], "old_no": pd.array([x[1] for x in out], "Int64"), "new_no": pd.array([x[2] for x in out], "Int64")})
+        frame = frame.sort_values(order)
+        a, b = (frame[frame["is_old"] == side][key].tolist() for side in (True, False))
+        out = alignment(a, b)
+        return pd.DataFrame({d: [frame[d].iloc[0]] * len(out) for d in doc} | {"op": [x[0] for x in out], "old_no": pd.array([x[1] for x in out], "Int64"), "new_no": pd.array([x[2] for x in out], "Int64")})
 
     return work
 
 
-def aligned(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """(doc_id, op, old_no, new_no): both versions of a document aligned by content, not by number. Both have doc_id, key and order."""
-    both = old.select("doc_id", key, order, F.lit(True).alias("is_old")).unionByName(new.select("doc_id", key, order, F.lit(False).alias("is_old")))
-    return both.groupBy("doc_id").applyInPandas(_align(key, order, "is_old"), "doc_id long, op string, old_no long, new_no long")
+def aligned(old: DataFrame, new: DataFrame, doc: list[str], key: str, order: str) -> DataFrame:
+    """(doc, op, old_no, new_no): both versions of a document aligned by content, not by number: on values that are unique on both sides, then within the gaps. Both have doc, key and order."""
+    both = old.select(*doc, key, order, F.lit(True).alias("is_old")).unionByName(new.select(*doc, key, order, F.lit(False).alias("is_old")))
+    kinds = ", ".join(f"`{d}` {old.schema[d].dataType.simpleString()}" for d in doc)
+    return both.groupBy(*doc).applyInPandas(_align(doc, key, order), f"{kinds}, op string, old_no long, new_no long")

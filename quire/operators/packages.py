@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import unbalanced
-from .joins import closure
+from .joins import closure_within
 
 
 def _issue(rows: DataFrame, keys: list[str], part, code: str, detail) -> DataFrame:
@@ -63,7 +63,6 @@ def note_texts(marks: DataFrame, kind: str, keys: list[str]) -> DataFrame:
 
 def reachable_parts(rels: DataFrame, key: str, part: str) -> DataFrame:
     """(key, node) of all parts that a part reaches over internal relationships, in every package."""
-    edges = rels.filter("not external and resolved is not null").select(F.struct(key, F.col("source").alias("p")).alias("source"), F.struct(key, F.col("resolved").alias("p")).alias("target"))
-    roots = rels.select(key).distinct().select(F.struct(key, F.lit(part).alias("p")).alias("root"))
-    found = closure(edges, roots)
-    return found.select(F.col(f"root.{key}").alias(key), F.col("node.p").alias("part"), "hops")
+    edges = rels.filter("not external and resolved is not null").select(key, "source", F.col("resolved").alias("target"))
+    roots = rels.select(key).distinct().withColumn("root", F.lit(part))
+    return closure_within(edges, roots, [key]).select(key, F.col("node").alias("part"), "hops")

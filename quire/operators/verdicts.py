@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import space_runs, squeeze
+
 from .aggregates import multiset_difference, verdict
+from .windows import coalesced
 
 #: Node properties that only place or size what is there.
 LAYOUT = ("limits", "cols", "pos", "type")
 
 
-def spans(nodes: DataFrame, key: str) -> DataFrame:
-    """nodes with end: one past the last id of a node's subtree, as ids run depth first."""
-    depth = _depths(nodes, key)
-    w = Window.partitionBy(key).orderBy("node_id").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("depth", "node_id")).over(w)
-    end = F.filter(later, lambda x: x["depth"] <= F.col("depth"))
-    size = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return depth.withColumn("end", F.coalesce(F.get(end, F.lit(0))["node_id"].cast("long"), size)).drop("depth")
-
-
-def _depths(nodes: DataFrame, key: str) -> DataFrame:
-    """Depth by following parents within the rows of a zone, which is small."""
-    own = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_id", "parent_id"))).alias("t"))
-    step = lambda acc, x: F.concat(acc, F.array(F.when(x["parent_id"].isNull(), 0).otherwise(F.get(acc, x["parent_id"]) + 1)))
-    depth = own.select(key, F.posexplode(F.aggregate("t", F.array().cast("array<int>"), step)).alias("node_id", "depth"))
-    return nodes.join(depth, [key, "node_id"])
-
-
 def scope_census(nodes: DataFrame, key: str) -> DataFrame:
     """(key, type, span): the text that each node covers."""
-    wide = spans(nodes, key)
-    w = Window.partitionBy(key)
-    leaves = F.collect_list(F.struct("node_id", F.when(F.col("type") == "space", "").otherwise(F.col("value")).alias("value"))).over(w)
-    inside = F.transform(F.array_sort(F.filter(leaves, lambda x: (x["node_id"] >= F.col("node_id")) & (x["node_id"] < F.col("end")))), lambda x: x["value"])
-    return wide.select(key, "type", F.array_join(inside, "").alias("span"))
+    return nodes.select(key, "type", "span")
 
 
 def layout_census(nodes: DataFrame, key: str) -> DataFrame:
@@ -63,3 +44,48 @@ def compare(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
         (changed("layout"), "degradation"), (changed("scope"), "degradation"), (changed("space"), "neutral"), default="identical",
     )
     return out.select(key, rule.alias("verdict"))
+
+
+# --- paragraphs, tables, documents ----------------------------------------------------------
+
+
+def run_census(runs: DataFrame, key: list[str], order: str, form: str, text: str) -> DataFrame:
+    """(key, form, span, n): how often a text has a format, neighbours of one format being one; blank texts don't count."""
+    whole = coalesced(runs, key, [order], form, text)
+    span = squeeze(F.col(text))
+    return whole.select(*key, form, span.alias("span")).filter("span <> ''").groupBy(*key, form, "span").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _differ(name: str) -> Column:
+    return ~F.col(f"o_{name}").eqNullSafe(F.col(f"n_{name}"))
+
+
+def paragraph_verdicts(pairs: DataFrame) -> DataFrame:
+    """verdict and reason of paragraph pairs (o_ and n_ of: text, heading, list, align, page_break, columns, bookmarks, fields, images, links, math, style, deferred, breaks; formats_lost, formats_gained): content first, then what a reader sees, then what is carried, then what is not."""
+    text = squeeze(F.col("o_text")) != squeeze(F.col("n_text"))
+    spacing = ~space_runs(F.col("o_text")).eqNullSafe(space_runs(F.col("n_text")))
+    gained = F.col("o_heading").isNull() & F.col("n_heading").isNotNull()
+    lost_links = F.size(F.array_except(F.coalesce("o_links", F.array().cast("array<string>")), F.coalesce("n_links", F.array().cast("array<string>")))) > 0
+    rules = [(text, "degradation", "text"), (spacing, "degradation", "spacing"), (gained, "improvement", "heading from outline"), (_differ("heading"), "degradation", "heading")]
+    rules += [(_differ(n), "degradation", n) for n in ("list", "align", "page_break", "columns", "bookmarks", "fields")]
+    rules += [(F.col("formats_lost") > 0, "degradation", "formatting"), (_differ("images"), "degradation", "images"), (lost_links, "degradation", "links"), (_differ("math"), "degradation", "math"), (_differ("style"), "degradation", "style"), (_differ("deferred"), "deferred", "not carried")]
+    rules += [((F.col("formats_gained") > 0) | _differ("breaks"), "neutral", "breaks")]
+    return pairs.withColumns({"verdict": verdict(*[(r, v) for r, v, _ in rules], default="identical"), "reason": verdict(*[(r, x) for r, _, x in rules], default="")})
+
+
+def table_verdicts(pairs: DataFrame) -> DataFrame:
+    """verdict and reason of table pairs (o_ and n_ of: rows, cols, cells, max_span, n_merged, style, fills, borders, widths, heights, valigns): structure is compared, sizes are not carried."""
+    rules = [(_differ("rows") | _differ("cols"), "degradation", "size"), (_differ("cells"), "degradation", "cells"), (_differ("max_span") | _differ("n_merged"), "degradation", "merges")]
+    rules += [(_differ(n), "degradation", n) for n in ("style", "fills", "borders")]
+    rules += [(_differ("widths") | _differ("heights") | _differ("valigns"), "deferred", "sizes")]
+    return pairs.withColumns({"verdict": verdict(*[(r, v) for r, v, _ in rules], default="identical"), "reason": verdict(*[(r, x) for r, _, x in rules], default="")})
+
+
+def document_verdicts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, kind, verdict): what became of notes, comments, headers and the like. old, new: (key, kind, id, text) of kind footnote, endnote, comment, header, footer, property or noise; definitions are compared by id."""
+    a, b = (t.select(key, "kind", "id", F.col("text").alias(n)) for t, n in ((old, "o_text"), (new, "n_text")))
+    both = a.withColumn("in_old", F.lit(1)).join(b.withColumn("in_new", F.lit(1)), [key, "kind", "id"], "full_outer")
+    differs = F.col("in_old").isNull() | F.col("in_new").isNull() | ~F.col("o_text").eqNullSafe(F.col("n_text"))
+    each = both.groupBy(key, "kind").agg(F.bool_or(differs).alias("changed")).filter("changed")
+    kind = verdict((F.col("kind").isin("footnote", "endnote", "comment"), "degradation"), (F.col("kind") == "noise", "noise"), default="deferred")
+    return each.select(key, "kind", kind.alias("verdict"))

@@ -81,3 +81,33 @@ def lookahead_pairs(rows: DataFrame, group: list[str], order: list[str], first:
     w = _order(group, *order)
     pair = first & F.coalesce(F.lead(second).over(w), F.lit(False))
     return rows.withColumn("merged", pair).withColumn("absorbed", F.coalesce(F.lag("merged").over(w), F.lit(False)))
+
+
+def field_depth(rows: DataFrame, group: list[str], order: list[str], opens: Column, closes: Column) -> DataFrame:
+    """depth after each row of marks that open and close, never under 0; a close without an open counts for nothing."""
+    w = _order(group, *order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w)
+    out = rows.withColumn("q_total", total)
+    return out.withColumn("depth", F.col("q_total") - F.least(F.lit(0), F.min("q_total").over(w))).drop("q_total")
+
+
+def without_contents(rows: DataFrame, group: list[str], order: list[str], opens: Column, closes: Column) -> DataFrame:
+    """Rows outside a generated table of contents, and of each table the row that opens it (is_toc)."""
+    w = _order(group, *order)
+    deep = field_depth(rows, group, order, opens, closes).withColumn("q_before", F.coalesce(F.lag("depth").over(w), F.lit(0)))
+    return deep.withColumn("is_toc", (F.col("depth") > 0) & (F.col("q_before") == 0)).filter("q_before = 0").drop("q_before", "depth")
+
+
+def grouped_lists(rows: DataFrame, group: list[str], order: list[str], is_item: Column) -> DataFrame:
+    """block: rows numbered from 1, neighbouring list rows with one number."""
+    w = _order(group, *order)
+    out = rows.withColumn("q_item", is_item)
+    new = ~(F.col("q_item") & F.coalesce(F.lag("q_item").over(w), F.lit(False)))
+    return out.withColumn("q_new", new.cast("int")).withColumn("block", F.sum("q_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("q_new", "q_item")
+
+
+def changes(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """The first row of each run of equal neighbouring values, numbered from 1 (position)."""
+    first = F.row_number().over(Window.partitionBy(*group, "run").orderBy(*order))
+    out = runs(rows, group, order, value).withColumn("q_first", first).filter("q_first = 1")
+    return out.withColumn("position", F.col("run")).drop("q_first", "run")

@@ -245,9 +245,10 @@ def span_overlap(spark, sf_dir):
     return J.overlaps(x, y, ["user_id"], ("b1", "e1"), ("b2", "e2"), bucket=16).select("left_id", "right_id", F.greatest("b1", "b2").alias("begin_at"), F.least("e1", "e2").alias("end_at"))
 
 
-_MAP = "SELECT n_regionkey AS doc_id, n_nationkey AS label, n_name AS latex, n_nationkey AS source_order FROM nation"
-_EDIT = """SELECT n_regionkey AS doc_id, CASE WHEN n_nationkey % 7 = 3 THEN 1000 + n_nationkey WHEN n_nationkey % 5 = 1 THEN 500 - n_nationkey ELSE n_nationkey * 2 END AS seq,
- CASE WHEN n_nationkey % 11 = 4 THEN NULL ELSE n_nationkey END AS label, CASE WHEN n_nationkey % 3 = 0 THEN n_name || ' edited' ELSE n_name END AS latex FROM nation WHERE n_nationkey % 6 <> 5"""
+_MAP = "SELECT c_nationkey AS doc_id, c_custkey AS label, c_name AS latex, c_custkey AS source_order FROM customer"
+#: The edited text: some blocks are gone, some moved, some rewritten, some without a label.
+_EDIT = """SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 7 = 3 THEN 10000000 + c_custkey WHEN c_custkey % 5 = 1 THEN 5000000 - c_custkey ELSE c_custkey * 2 END AS seq,
+ CASE WHEN c_custkey % 11 = 4 THEN NULL ELSE c_custkey END AS label, CASE WHEN c_custkey % 3 = 0 THEN c_name || ' edited' ELSE c_name END AS latex FROM customer WHERE c_custkey % 6 <> 5"""
 
 
 @query(f"""WITH m AS ({_MAP}), e0 AS ({_EDIT}),
@@ -259,44 +260,58 @@ UNION ALL SELECT doc_id, seq, 1, 'insert', label, bl, al FROM s WHERE op <> np
 UNION ALL SELECT doc_id, seq, 1, 'insert', label, bl, al FROM e WHERE label IS NULL
 UNION ALL SELECT doc_id, 1099511627776 + source_order, 0, 'delete', label, NULL, NULL FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = m.doc_id AND e.label = m.label)""")
 def block_diff(spark, sf_dir):
-    _t(spark, sf_dir, "nation").createOrReplaceTempView("quire_nation")
-    block_map, edited = (spark.sql(s.replace("FROM nation", "FROM quire_nation")) for s in (_MAP, _EDIT))
+    _t(spark, sf_dir, "customer").createOrReplaceTempView("quire_customer")
+    block_map, edited = (spark.sql(s.replace("FROM customer", "FROM quire_customer")) for s in (_MAP, _EDIT))
     return J.block_actions(block_map, edited, ["doc_id"])
 
 
-@query("""WITH e AS (SELECT n_nationkey % 9 AS label FROM nation WHERE n_nationkey < 12), m AS (SELECT n_nationkey AS label FROM nation WHERE n_nationkey < 7)
-SELECT 1 AS doc_id, label, 'duplicate' AS error FROM e GROUP BY label HAVING count(*) > 1 UNION ALL SELECT DISTINCT 1, label, 'invented' FROM e WHERE label NOT IN (SELECT label FROM m)""")
+@query("""WITH e AS (SELECT o_custkey % 25 AS doc_id, o_custkey AS label FROM orders), m AS (SELECT c_nationkey AS doc_id, c_custkey AS label FROM customer)
+SELECT doc_id, label, 'duplicate' AS error FROM e GROUP BY doc_id, label HAVING count(*) > 1 UNION ALL SELECT DISTINCT doc_id, label, 'invented' FROM e ANTI JOIN m USING (doc_id, label)""")
 def label_set_checks(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").withColumn("doc_id", F.lit(1))
-    return J.label_errors(n.filter("n_nationkey < 7").withColumn("label", F.col("n_nationkey")), n.filter("n_nationkey < 12").withColumn("label", F.col("n_nationkey") % 9), ["doc_id"])
+    edited = _t(spark, sf_dir, "orders").selectExpr("o_custkey % 25 AS doc_id", "o_custkey AS label")
+    return J.label_errors(_t(spark, sf_dir, "customer").selectExpr("CAST(c_nationkey AS BIGINT) AS doc_id", "c_custkey AS label"), edited, ["doc_id"])
 
 
-@query("""WITH r AS (SELECT event_id, event_type, event_id % 100 AS ord, user_id AS owner FROM events WHERE event_id % 3 = 0), a AS (SELECT event_type, event_id % 100 AS a_ord, user_id AS a_owner, CAST(floor(value) AS BIGINT) % 5 AS payload FROM events WHERE event_id % 50 = 1),
-p AS (SELECT event_id, CASE WHEN a_owner = owner THEN -1 ELSE abs(ord - a_ord) END AS distance, payload FROM r JOIN a USING (event_type)), q AS (SELECT *, rank() OVER (PARTITION BY event_id ORDER BY distance) AS k FROM p WHERE distance <= 10)
-SELECT event_id, distance, CASE WHEN count(DISTINCT payload) = 1 THEN min(payload) END AS payload, count(DISTINCT payload) AS n_payloads FROM q WHERE k = 1 GROUP BY event_id, distance""")
+_KINDS = "CASE c_nationkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'error' END"
+
+
+@query(f"""WITH r AS (SELECT event_id, event_type, event_id AS ord, user_id AS owner FROM events), a AS (SELECT {_KINDS} AS event_type, c_custkey * 13 AS a_ord, c_custkey AS a_owner, c_nationkey AS payload FROM customer),
+p AS (SELECT event_id, CASE WHEN a_owner = owner THEN -1 ELSE abs(ord - a_ord) END AS distance, payload FROM r JOIN a USING (event_type)), q AS (SELECT *, min(distance) OVER (PARTITION BY event_id) AS d FROM p WHERE distance <= 40)
+SELECT event_id, CAST(d AS BIGINT) AS distance, CASE WHEN count(DISTINCT payload) = 1 THEN min(payload) END AS payload, count(DISTINCT payload) AS n_payloads FROM q WHERE distance = d GROUP BY event_id, d""")
 def nearest_attachment(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    rows = e.filter("event_id % 3 = 0").selectExpr("event_id", "event_type", "event_id % 100 AS ord", "user_id AS owner")
-    some = e.filter("event_id % 50 = 1").selectExpr("event_type", "event_id % 100 AS a_ordinal", "user_id AS a_owner", "CAST(floor(value) AS BIGINT) % 5 AS payload")
-    return J.nearest(rows, some, ["event_type"], "ord", "owner", "payload", within=10).select("event_id", "distance", "payload", "n_payloads")
+    rows = _t(spark, sf_dir, "events").selectExpr("event_id", "event_type", "event_id AS ord", "user_id AS owner")
+    some = _t(spark, sf_dir, "customer").selectExpr(f"{_KINDS} AS event_type", "c_custkey * 13 AS a_ordinal", "c_custkey AS a_owner", "c_nationkey AS payload")
+    return J.nearest(rows, some, ["event_type"], "ord", "owner", "payload", within=40).select("event_id", "distance", "payload", "n_payloads")
 
 
-_EDGES = "SELECT n_nationkey AS source, (n_nationkey * 2 + 1) % 25 AS target FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey < 10"
+#: Chains of 200 parts; every 50th part also leads back, so there are cycles.
+_EDGES = "SELECT p_partkey % 10 AS g, p_partkey AS source, p_partkey + 10 AS target FROM part WHERE p_partkey % 2000 < 1990 UNION ALL SELECT p_partkey % 10, p_partkey, p_partkey - 100 FROM part WHERE p_partkey % 500 >= 490 AND p_partkey > 500"
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT n_nationkey AS root, n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION SELECT c.root, e.target FROM c JOIN e ON c.node = e.source)
-SELECT root, node FROM c""")
+@query(f"""WITH RECURSIVE e AS ({_EDGES}), c AS (SELECT p_partkey % 10 AS g, p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey % 2000 BETWEEN 1 AND 10 UNION SELECT c.g, c.root, e.target FROM c JOIN e ON c.node = e.source)
+SELECT g, root, node FROM c""")
 def relationship_closure(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation")
-    edges = n.selectExpr("n_nationkey AS source", "(n_nationkey * 2 + 1) % 25 AS target").unionByName(n.filter("n_nationkey < 10").selectExpr("n_nationkey AS source", "(n_nationkey + 5) % 25 AS target"))
-    return J.closure(edges, n.filter("n_regionkey = 1").select(F.col("n_nationkey").alias("root"))).select("root", "node")
+    """Within groups, as a package's parts are."""
+    _t(spark, sf_dir, "part").createOrReplaceTempView("quire_part")
+    edges = spark.sql(_EDGES.replace("FROM part", "FROM quire_part"))
+    roots = spark.sql("SELECT p_partkey % 10 AS g, p_partkey AS root FROM quire_part WHERE p_partkey % 2000 BETWEEN 1 AND 10")
+    return J.closure_within(edges, roots, ["g"]).select("g", "root", "node")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS source, (c_nationkey * 7 + c_custkey % 3) % 25 AS target FROM customer), c AS (SELECT r_regionkey AS root, r_regionkey AS node FROM region UNION SELECT c.root, e.target FROM c JOIN e ON c.node = e.source)
+SELECT root, node FROM c""")
+def graph_closure(spark, sf_dir):
+    """Over one graph, with cycles, by rounds."""
+    edges = _t(spark, sf_dir, "customer").selectExpr("CAST(c_nationkey AS BIGINT) AS source", "CAST((c_nationkey * 7 + c_custkey % 3) % 25 AS BIGINT) AS target")
+    return J.closure(edges, _t(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS root")).select("root", "node")
 
 
-@query("""WITH RECURSIVE s AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS parent, CASE WHEN n_nationkey % 4 = 1 THEN n_name END AS v FROM nation),
-w AS (SELECT id AS start, parent, v, 0 AS d FROM s UNION ALL SELECT w.start, s.parent, s.v, d + 1 FROM w JOIN s ON w.parent = s.id WHERE w.v IS NULL AND d < 30)
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 200 <> 1 THEN p_partkey - 1 END AS parent, CASE WHEN p_partkey % 400 IN (2, 170) THEN p_name END AS v FROM part),
+w AS (SELECT id AS start, parent, v FROM s UNION ALL SELECT w.start, s.parent, s.v FROM w JOIN s ON w.parent = s.id WHERE w.v IS NULL)
 SELECT start AS id, max(v) AS numbering FROM w GROUP BY start""")
 def style_inheritance(spark, sf_dir):
-    s = _t(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "CASE WHEN n_nationkey > 0 THEN CAST(n_nationkey / 2 AS INT) END AS parent", "CASE WHEN n_nationkey % 4 = 1 THEN n_name END AS numbering")
+    """Chains of 200 styles, of which some have no value at all."""
+    s = _t(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 200 <> 1 THEN p_partkey - 1 END AS parent", "CASE WHEN p_partkey % 400 IN (2, 170) THEN p_name END AS numbering")
     return J.inherited(s, "id", "parent", "numbering")
 
 

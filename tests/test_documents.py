@@ -40,10 +40,10 @@ def test_blocks():
     assert doctex.blocks("") == [] and doctex.blocks("  \n ") == []
 
 
-def test_diagnostics():
-    codes = lambda *a: {d.code for d in doctex.diagnostics(*a)}
+def test_findings():
+    codes = lambda *a: {d.code for d in doctex.findings(*a)}
     good = "\\documentclass{a}\\usepackage{amsmath}\\begin{document}\\begin{equation}x\\end{equation}\\end{document}"
-    assert doctex.diagnostics(good) == []
+    assert doctex.findings(good) == []
     assert codes("x", "nothing") == {"invalid-fragment-kind"}
     assert codes("\\newcommand{\\a}{b} \\usepackage{tikz} \\begin{foo}\\end{foo} \\bar \\begin{quote}", "block") == {"macro-definition", "unapproved-package", "custom-environment", "unknown-command", "broken-environment"}
     assert codes("\\begin{itemize}" * 5 + "\\end{itemize}" * 5, "block") == {"invalid-nesting"}
@@ -91,6 +91,70 @@ def test_packages(spark, tmp_path):
     assert files.package_files(spark, str(tmp_path)).count() == 1 and files.latex_files(spark, str(tmp_path)).first()["text"] == "x\ny"
 
 
+def test_alignment():
+    """Operations give back both sides; what is equal is equal; unique values in order are all found."""
+    import random
+
+    from quire.operators import documents as D
+
+    rnd = random.Random(8)
+    for _ in range(200):
+        a = [rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(30))]
+        b = [x for x in a if rnd.random() > 0.2] + [rnd.choice("xyzäöü") for _ in range(rnd.randrange(4))]
+        ops = D.alignment(a, b)
+        assert [i for _, i, _ in ops if i is not None] == list(range(len(a))) and [j for _, _, j in ops if j is not None] == list(range(len(b)))
+        assert all(a[i] == b[j] for op, i, j in ops if op == "equal")
+    a = list(range(50_000))
+    b = [x for x in a if x % 7]
+    assert sum(op == "equal" for op, _, _ in D.alignment(a, b)) == len(b)
+
+
+def test_sequence_alignment_finds_what_stayed(spark, sf_dir):
+    rows = documents.QUERIES["sequence_alignment"](spark, sf_dir).collect()
+    kept = {(r["old_no"], r["new_no"] is not None) for r in rows if r["op"] == "equal"}
+    assert rows and kept and all(n % 4 != 1 for n, _ in kept)
+
+
+def test_closures_have_no_depth_limit(spark):
+    from quire.operators import joins as J
+
+    edges = [(k, k + 1) for k in range(70)] + [(70, 3), (100, 101)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    roots = spark.createDataFrame([(0,), (100,)], "root long")
+    got = {tuple(r) for r in J.closure(df, roots).collect()}
+    assert got == {(0, k, k) for k in range(71)} | {(100, 100, 0), (100, 101, 1)}
+    nodes = spark.createDataFrame([(k, k - 1 if k else None, "v" if k == 0 else None) for k in range(300)] + [(900, 901, None), (901, 900, None), (902, 5555, None)], "id long, up long, value string")
+    got = {tuple(r) for r in J.inherited(nodes, "id", "up", "value").collect()}
+    assert got == {(k, "v") for k in range(300)} | {(900, None), (901, None), (902, None)}
+
+
+def test_nearest_across_ranges(spark):
+    """Neighbours in other ranges, ties of one and of several payloads, owners first."""
+    from quire.operators import joins as J
+
+    rows = spark.createDataFrame([("a", 10_000, 1), ("a", 3, 2), ("a", 20, 3), ("b", 5, 4), ("a", 99_000, 5)], "t string, o long, own long")
+    held = spark.createDataFrame([("a", 0, 77, "x"), ("a", 40, 77, "y"), ("a", 90_000, 1, "z"), ("a", 90_000, 8, "z")], "t string, a_ordinal long, a_owner long, p string")
+    got = {(r["t"], r["o"]): (r["distance"], r["p"], r["n_payloads"]) for r in J.nearest(rows, held, ["t"], "o", "own", "p").collect()}
+    assert got == {("a", 10_000): (-1, "z", 1), ("a", 3): (3, "x", 1), ("a", 20): (20, None, 2), ("a", 99_000): (9000, "z", 1)}
+
+
+def test_damaged_members(spark):
+    import zlib
+
+    whole = bytearray(package())
+    at = whole.index(zlib.compress(b"x")[2:-4]) if zlib.compress(b"x")[2:-4] in whole else len(whole) // 3
+    whole[at] ^= 0xFF
+    broken = io.BytesIO()
+    with zipfile.ZipFile(broken, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", "<a/>" * 500)
+        z.writestr("b.xml", "<b/>")
+    raw = bytearray(broken.getvalue())
+    raw[40] ^= 0x55
+    rows = files.parts(spark.createDataFrame([("w", whole), ("r", raw), ("n", None)], "path string, content binary"), ["path"]).collect()
+    assert any(r["error"] and r["error"].startswith("bad-member") for r in rows if r["path"] == "r")
+    assert any(r["part"] == "b.xml" and r["error"] is None for r in rows) and any(r["path"] == "n" and r["error"] for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(documents.QUERIES))
 def test_query_runs(spark, sf_dir, name):
     rows = documents.QUERIES[name](spark, sf_dir).collect()

@@ -3,7 +3,10 @@
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from quire.plans import relational  # noqa: E402
+from quire.plans import documents, relational, structure  # noqa: E402
+
+QUERIES = relational.QUERIES | structure.QUERIES | documents.QUERIES
+SQL = relational.SQL | structure.SQL | documents.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -22,10 +25,16 @@ def plain(rows):
     return sorted(tuple(one(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(relational.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, sf_dir, name):
-    want = con.execute(relational.SQL[name])
+    want = con.execute(SQL[name])
     columns = [d[0] for d in want.description]
-    got = relational.QUERIES[name](spark, sf_dir)
+    got = QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(columns)
-    assert plain(got.select(columns).collect()) == plain(want.fetchall())
+    rows = plain(want.fetchall())
+    assert plain(got.select(columns).collect()) == rows
+    assert rows or name in SPARSE
+
+
+#: Queries without a row on the smallest tables.
+SPARSE: set[str] = set()
