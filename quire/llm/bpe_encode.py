@@ -31,7 +31,7 @@ from .pretokens import text_blocks
 from .texthash import mix
 
 LONG = 256
-HELD = 150_000
+HELD = 100_000
 _NONE = np.int32(0x7FFFFFFF)
 _EMPTY = np.int64(-1)
 

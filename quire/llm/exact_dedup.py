@@ -139,8 +139,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     """The documents that stay, with all their columns: one row of each group of equal texts."""
     columns = docs.columns
     docs, place = _located(docs)
-    stay = stage(_judged(docs, place, id_col, text_col, digest, 1 << 29).filter(_is_top()).select(*PLACE), "dedup-kept")
+    gone = stage(_judged(docs, place, id_col, text_col, digest, 1 << 29).filter(~_is_top()).select(*PLACE), "dedup-gone")
     name = fresh(docs, "q_place")
-    rows, one = docs.withColumn(name, place), stay.select(F.struct(*PLACE).alias("q_stay"))
-    kept = rows.join(one, rows[name] == one["q_stay"], "left_semi")
+    rows, gone = docs.withColumn(name, place), gone.select(F.struct(*PLACE).alias("q_gone"))
+    kept = rows.join(gone, rows[name] == gone["q_gone"], "left_anti")
     return kept.select(*[kept[f"`{c}`"] for c in columns])

@@ -50,7 +50,7 @@ from .texthash import _splitmix, mix, numbered_sets, shingle_sets
 TREES, DEPTH = 24, 4
 MINIMA = TREES * DEPTH
 #: Classes of a group that are compared with each other in one task, and bytes of their texts.
-REGION, FAMILY_BYTES = 1024, 16 << 20
+REGION, FAMILY_BYTES = 1024, 8 << 20
 _A = (_splitmix(MINIMA, 101) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 _B = (_splitmix(MINIMA, 202) >> np.uint64(32)).astype(np.uint32)[:, None]
 SIGNED = "q_id long, n long, class binary, sig binary"
