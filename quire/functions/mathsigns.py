@@ -4,14 +4,56 @@ from __future__ import annotations
 
 import unicodedata
 
-# Symbols by category, macro name and character.
-_BINARY = "pm ± mp ∓ times × div ÷ cdot · ast ∗ star ⋆ circ ∘ bullet ∙ oplus ⊕ ominus ⊖ otimes ⊗ oslash ⊘ odot ⊙ wedge ∧ vee ∨ cap ∩ cup ∪ setminus ∖ uplus ⊎ sqcap ⊓ sqcup ⊔ wr ≀"
-_RELATION = "leq ≤ geq ≥ neq ≠ approx ≈ equiv ≡ sim ∼ simeq ≃ cong ≅ asymp ≍ propto ∝ prec ≺ succ ≻ preceq ⪯ succeq ⪰ ll ≪ gg ≫ lesssim ≲ gtrsim ≳ subset ⊂ supset ⊃ subseteq ⊆ supseteq ⊇ nsubseteq ⊈ in ∈ notin ∉ ni ∋ vdash ⊢ models ⊨ perp ⊥ top ⊤ doteq ≐ dashv ⊣ nmid ∤ nparallel ∦"
-_LOGIC = "forall ∀ exists ∃ nexists ∄ neg ¬ emptyset ∅ infty ∞ partial ∂ nabla ∇ hbar ℏ ell ℓ aleph ℵ beth ℶ wp ℘ diamond ⋄ square □ triangle △ complement ∁"
-_ARROW = "to → leftarrow ← leftrightarrow ↔ Rightarrow ⇒ Leftarrow ⇐ Leftrightarrow ⇔ mapsto ↦ uparrow ↑ downarrow ↓ updownarrow ↕ Uparrow ⇑ Downarrow ⇓ Updownarrow ⇕ nearrow ↗ searrow ↘ nwarrow ↖ swarrow ↙ rightleftharpoons ⇌ rightharpoonup ⇀ leftharpoonup ↼ hookrightarrow ↪ hookleftarrow ↩"
-_MISC = "ldots … cdots ⋯ vdots ⋮ ddots ⋱ therefore ∴ because ∵ angle ∠ frown ⌢ smile ⌣ | ‖ parallel ∥ dagger † ddagger ‡ bowtie ⋈ flat ♭ imath ı jmath ȷ"
+# Symbols by category, macro name and character. Arrows of a direction, Greek letters and most struck relations follow from Unicode names.
+_BINARY = {
+    "pm": "±", "mp": "∓", "times": "×", "div": "÷", "cdot": "·", "ast": "∗", "star": "⋆", "circ": "∘", "bullet": "∙", "oplus": "⊕", "ominus": "⊖",
+    "otimes": "⊗", "oslash": "⊘", "odot": "⊙", "wedge": "∧", "vee": "∨", "cap": "∩", "cup": "∪", "setminus": "∖", "uplus": "⊎", "sqcap": "⊓",
+    "sqcup": "⊔", "wr": "≀", "boxplus": "⊞", "boxminus": "⊟", "boxtimes": "⊠", "dotsquare": "⊡", "circledast": "⊛", "circledcirc": "⊚", "capdot": "⩀",
+    "cupdot": "⩁", "curlymeet": "⋏", "curlyvee": "⋎", "dotplus": "∔", "dotminus": "∸", "ltimes": "⋉", "rtimes": "⋊", "timesbar": "⨰",
+    "pitchfork": "⋔", "cbrt": "∛", "fourthroot": "∜", "sslash": "⫽",
+}
+_RELATION = {
+    "leq": "≤", "geq": "≥", "neq": "≠", "approx": "≈", "equiv": "≡", "sim": "∼", "simeq": "≃", "cong": "≅", "asymp": "≍", "propto": "∝", "prec": "≺",
+    "succ": "≻", "preceq": "⪯", "succeq": "⪰", "ll": "≪", "gg": "≫", "lesssim": "≲", "gtrsim": "≳", "subset": "⊂", "supset": "⊃", "subseteq": "⊆",
+    "supseteq": "⊇", "nsubseteq": "⊈", "in": "∈", "notin": "∉", "ni": "∋", "vdash": "⊢", "models": "⊨", "perp": "⊥", "top": "⊤", "doteq": "≐",
+    "dashv": "⊣", "nmid": "∤", "nparallel": "∦", "sqsubset": "⊏", "sqsubseteq": "⊑", "sqsupset": "⊐", "sqsupseteq": "⊒", "backsim": "∽",
+    "Bumpeq": "≎", "circeq": "≗", "eqring": "≖", "eqcolon": "⋕", "eqmeasured": "≞", "equest": "≚", "estimates": "≙", "questeq": "≟",
+    "curlyeqprec": "⋞", "curlyeqsucc": "⋟", "precsim": "≾", "succsim": "≿", "precnsim": "⋨", "succnsim": "⋩", "lll": "⋘", "ggg": "⋙",
+    "lessapprox": "⪅", "gtrapprox": "⪆", "Vdash": "⊩", "VDash": "⊫", "Vvdash": "⊪", "nvDash": "⊭", "nVdash": "⊮", "nVDash": "⊯", "multimap": "⊷",
+    "nasymp": "≏", "nlsim": "≴", "ngsim": "≵", "notni": "∌", "npreccurlyeq": "⋠", "nsucccurlyeq": "⋡", "ntless": "≸", "ntgtr": "≹",
+    "ntriangleleft": "⋤", "ntrianglelefteq": "⋢", "ntriangleright": "⋥", "ntrianglerighteq": "⋣",
+}
+_LOGIC = {
+    "forall": "∀", "exists": "∃", "nexists": "∄", "neg": "¬", "emptyset": "∅", "infty": "∞", "partial": "∂", "nabla": "∇", "hbar": "ℏ", "ell": "ℓ",
+    "aleph": "ℵ", "beth": "ℶ", "wp": "℘", "diamond": "⋄", "square": "□", "triangle": "△", "complement": "∁", "gimel": "ℷ", "daleth": "ℸ", "mho": "℧",
+    "eth": "ð", "Finv": "Ⅎ", "Game": "⅁", "Euler": "ℇ", "Ydown": "⅄", "AA": "Å", "blacksquare": "■",
+}
+_ARROW = {
+    "to": "→", "mapsto": "↦", "mapsup": "↥", "mapsdown": "↧", "nearrow": "↗", "searrow": "↘", "nwarrow": "↖", "swarrow": "↙",
+    "rightleftharpoons": "⇌", "leftrightharpoons": "⇋", "leftrightarrows": "⇆", "rightleftarrows": "⇄", "leftrightsquigarrow": "↭",
+    "leftrightdasharrow": "⇿", "circlearrowleft": "↺", "circlearrowright": "↻", "curvearrowleft": "↶", "curvearrowright": "↷", "Lsh": "↲", "Rsh": "↳",
+    "uplsh": "↰", "uprsh": "↱", "carriagereturn": "↵", "barleftarrow": "↸", "barrightarrow": "↹",
+}
+_MISC = {
+    "ldots": "…", "cdots": "⋯", "vdots": "⋮", "ddots": "⋱", "therefore": "∴", "because": "∵", "angle": "∠", "frown": "⌢", "smile": "⌣", "|": "‖",
+    "parallel": "∥", "dagger": "†", "ddagger": "‡", "bowtie": "⋈", "flat": "♭", "imath": "ı", "jmath": "ȷ", "iddots": "⋰", "measuredangle": "∡",
+    "sphericalangle": "∢", "rightangle": "∟", "perspective": "⌆", "Colon": "::",
+}
+# Directions of arrows, and the forms that macro names have, by their Unicode names.
+_DIRECTIONS = {"left": "LEFTWARDS", "right": "RIGHTWARDS", "leftright": "LEFT RIGHT", "up": "UPWARDS", "down": "DOWNWARDS", "updown": "UP DOWN"}
+_ARROW_FORMS = {
+    "{d}arrow": "{u} ARROW", "{c}arrow": "{u} DOUBLE ARROW", "long{d}arrow": "LONG {u} ARROW", "Long{d}arrow": "LONG {u} DOUBLE ARROW",
+    "n{d}arrow": "{u} ARROW WITH STROKE", "n{c}arrow": "{u} DOUBLE ARROW WITH STROKE", "{d}arrowtail": "{u} ARROW WITH TAIL", "hook{d}arrow": "{u} ARROW WITH HOOK",
+    "twohead{d}arrow": "{u} TWO HEADED ARROW", "{d}{d}arrows": "{u} PAIRED ARROWS", "{i}{d}arrow": "{u} TRIPLE ARROW", "dash{d}arrow": "{u} DASHED ARROW",
+    "{d}squigarrow": "{u} SQUIGGLE ARROW", "{d}harpoonup": "{u} HARPOON WITH BARB UPWARDS", "{d}harpoondown": "{u} HARPOON WITH BARB DOWNWARDS",
+}
 # Greek letters whose plain name means the variant form, and forms of their own.
-_GREEK_FORMS = "varepsilon ε epsilon ϵ theta θ vartheta ϑ varkappa ϰ varpi ϖ varrho ϱ varsigma ς varphi φ phi ϕ"
+_GREEK_FORMS = {
+    "varepsilon": "ε", "epsilon": "ϵ", "theta": "θ", "vartheta": "ϑ", "varkappa": "ϰ", "varpi": "ϖ", "varrho": "ϱ", "varsigma": "ς", "varphi": "φ",
+    "phi": "ϕ",
+}
+# Other characters of the same symbol, as equations have them.
+_SIGN_ALIASES = {"•": "bullet", "◊": "diamond", "ⅎ": "Finv"}
 
 
 def _pairs(text: str) -> dict[str, str]:
@@ -24,22 +66,34 @@ def _greek() -> dict[str, str]:
     names = "alpha beta gamma delta zeta eta iota kappa lambda mu nu xi pi rho sigma tau upsilon chi psi omega".split()
     out = {n: unicodedata.lookup(f"GREEK SMALL LETTER {n.replace('lambda', 'lamda').upper()}") for n in names}
     capitals = "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()
-    return out | {n: unicodedata.lookup(f"GREEK CAPITAL LETTER {n.replace('Lambda', 'Lamda').upper()}") for n in capitals} | _pairs(_GREEK_FORMS)
+    return out | {n: unicodedata.lookup(f"GREEK CAPITAL LETTER {n.replace('Lambda', 'Lamda').upper()}") for n in capitals} | _GREEK_FORMS
 
 
 def _negated() -> dict[str, str]:
     """n and the name of a relation: the character with a stroke, where Unicode has one."""
     out = {}
-    for name, sign in (_pairs(_RELATION) | {"less": "<", "gtr": ">"}).items():
+    for name, sign in (_RELATION | {"less": "<", "gtr": ">"}).items():
         struck = unicodedata.normalize("NFC", sign + "\u0338")
         if len(struck) == 1:
             out[f"n{name}"] = struck
     return out
 
 
-CATEGORIES = {"greek": _greek(), "binary": _pairs(_BINARY), "relation": _negated() | _pairs(_RELATION), "logic": _pairs(_LOGIC), "arrow": _pairs(_ARROW), "misc": _pairs(_MISC)}
+def _arrows() -> dict[str, str]:
+    """Every form of arrow in every direction that Unicode has."""
+    out = {}
+    for name, form in _ARROW_FORMS.items():
+        for way, words in _DIRECTIONS.items():
+            try:
+                out[name.format(d=way, c=way.capitalize(), i=way[0].upper())] = unicodedata.lookup(form.format(u=words))
+            except KeyError:
+                continue
+    return out
+
+
+CATEGORIES = {"greek": _greek(), "binary": _BINARY, "relation": _RELATION | {n: s for n, s in _negated().items() if n not in _RELATION}, "logic": _LOGIC, "arrow": _ARROW | _arrows(), "misc": _MISC}
 SYMBOLS = {name: sign for group in CATEGORIES.values() for name, sign in group.items()}
-SPELLING = {sign: "\\" + name for name, sign in reversed(SYMBOLS.items())} | {"−": "-", "ε": "\\varepsilon", "ϵ": "\\epsilon", "∉": "\\notin", "≠": "\\neq"}
+SPELLING = {sign: "\\" + name for name, sign in reversed(SYMBOLS.items()) if len(sign) == 1} | {"−": "-", "ε": "\\varepsilon", "ϵ": "\\epsilon", "∉": "\\notin", "≠": "\\neq"} | {sign: "\\" + name for sign, name in _SIGN_ALIASES.items()}
 # Other spellings of the same symbol.
 ALIASES = {"rightarrow": "to", "longrightarrow": "to", "le": "leq", "ge": "geq", "implies": "Rightarrow", "ne": "neq", "land": "wedge", "lor": "vee", "lnot": "neg", "varnothing": "emptyset", "dots": "ldots", "lbrace": "{", "rbrace": "}", "Vert": "|"}
 # N-ary operators; those of the second line have limits above and below.
@@ -54,8 +108,11 @@ SPACES = {"\\,": "\u2009", "\\:": "\u2005", "\\;": "\u2004", "\\quad": "\u2003",
 LIMIT_NAMES = set("lim max min sup inf limsup liminf argmax argmin gcd lcm colim injlim projlim".split())
 NAMES = set("sin cos tan cot sec csc sinh cosh tanh coth arcsin arccos arctan arg deg det dim exp hom ker lg ln log Pr arsinh arcosh artanh sech sgn".split()) | LIMIT_NAMES
 # Delimiters after \left and \right.
-DELIMITERS = {"(": "(", ")": ")", "[": "[", "]": "]", "\\{": "{", "\\}": "}", "\\langle": "⟨", "\\rangle": "⟩", "\\lceil": "⌈", "\\rceil": "⌉", "\\lfloor": "⌊", "\\rfloor": "⌋", "|": "|", "\\|": "‖", "/": "/", "\\backslash": "\\", ".": "", "\\vert": "|"}
-DELIMITER_SPELLING = {sign: name for name, sign in reversed(DELIMITERS.items())} | {"|": "|"}
+DELIMITERS = {"(": "(", ")": ")", "[": "[", "]": "]", "\\{": "{", "\\}": "}", "\\langle": "\u2329", "\\rangle": "\u232a", "\\lceil": "⌈", "\\rceil": "⌉", "\\lfloor": "⌊", "\\rfloor": "⌋", "|": "|", "\\|": "‖", "/": "/", "\\backslash": "\\", ".": "", "\\vert": "|"}
+# Other characters of the same delimiter, as equations have them: two more angle brackets, and the corners of tall square ones.
+_DELIMITER_ALIASES = {"\u27e8": "\\langle", "\u27e9": "\\rangle", "\u3008": "\\langle", "\u3009": "\\rangle", "\u23a1": "[", "\u23a3": "[", "\u23a4": "]", "\u23a6": "]"}
+DELIMITER_SPELLING = {sign: name for name, sign in reversed(DELIMITERS.items())} | {"|": "|"} | _DELIMITER_ALIASES
+CLOSERS = set(")]}|‖⌉⌋\u232a")
 PAIRS = {"(": ")", "[": "]", "\\{": "\\}", "\\langle": "\\rangle", "\\lceil": "\\rceil", "\\lfloor": "\\rfloor"}
 SIZERS = {"\\big", "\\Big", "\\bigg", "\\Bigg"}
 OPEN_SIZERS, CLOSE_SIZERS = {s + "l" for s in SIZERS}, {s + "r" for s in SIZERS}

@@ -453,7 +453,7 @@ class Parser:
         if t.text == "\\right" or t.text in S.CLOSE_SIZERS:
             return True
         after = self.tokens[self.at + 1].text if t is self.now and self.at + 1 < len(self.tokens) else ""
-        return t.text in S.SIZERS and S.DELIMITERS.get(after, "?") in set(")]}|‖⌉⌋⟩")
+        return t.text in S.SIZERS and S.DELIMITERS.get(after, "?") in S.CLOSERS
 
     def tolerated(self) -> None:
         name = self.name(self.take())
@@ -652,7 +652,7 @@ def braced(node: Node) -> str:
 def letter(sign: str) -> str:
     if sign in S.ESCAPED:
         return "\\" + sign
-    return "'" if sign == S.PRIME else S.SPELLING.get(sign, {"{": "\\{", "}": "\\}", "⟨": "\\langle", "⟩": "\\rangle", "⌈": "\\lceil", "⌉": "\\rceil", "⌊": "\\lfloor", "⌋": "\\rfloor", "\\": "\\backslash"}.get(sign, sign))
+    return "'" if sign == S.PRIME else S.SPELLING.get(sign) or (S.DELIMITER_SPELLING.get(sign, sign) if sign else "")
 
 
 def spell_row(items: list[Node]) -> str:
@@ -735,7 +735,7 @@ _SPELL = {
     "script": spell_script, "limit": spell_limit, "nary": spell_nary, "frac": spell_fraction, "matrix": spell_matrix,
     "func": lambda n: joined([spell(n.slot("fName")), spell(n.slot("e"))]),
     "rad": lambda n: "\\sqrt" + (f"[{spell(n.slot('deg'))}]" if n.slot("deg") else "") + braced(n.slot("e")),
-    "delim": lambda n: joined(["\\left" + S.DELIMITER_SPELLING[n.prop("begChr")], " , ".join(map(spell, n.slots("e"))), "\\right" + S.DELIMITER_SPELLING[n.prop("endChr")]]),
+    "delim": lambda n: joined(["\\left" + S.DELIMITER_SPELLING.get(n.prop("begChr"), n.prop("begChr")), " , ".join(map(spell, n.slots("e"))), "\\right" + S.DELIMITER_SPELLING.get(n.prop("endChr"), n.prop("endChr"))]),
     "accent": lambda n: f"\\{next(m for m, s in S.ACCENTS.items() if s == n.value)}{braced(n.slot('e'))}",
     "bar": lambda n: f"\\{'overline' if n.prop('pos') == 'top' else 'underline'}{braced(n.slot('e'))}",
     "groupchr": lambda n: f"\\{'overbrace' if n.prop('pos') == 'top' else 'underbrace'}{braced(n.slot('e'))}",

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quire.functions import mathsigns, omml
 from quire.functions import mathtex as M
 
 SPELLINGS = {
@@ -54,3 +55,25 @@ def test_canonical_is_idempotent(tex):
 def test_flat_ids_are_ranges():
     rows = list(M.flat(M.parse(r"\frac{a+b}{c}+\sqrt{d}")[0]))
     assert [r[0] for r in rows] == list(range(len(rows))) and all(r[1] is None or r[1] < r[0] for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(mathsigns.SYMBOLS))
+def test_every_symbol_has_one_spelling(name):
+    """A symbol's spelling is read back as the same character, and equations keep it."""
+    node, warnings = M.parse(f"a\\{name} b")
+    once = M.spell(node)
+    assert not warnings and M.canonical(once) == once
+    assert M.spell(omml.from_xml(omml.to_xml(node))) == once
+
+
+def test_arrows_and_strokes():
+    names = {"longleftarrow": "⟵", "Longleftrightarrow": "⟺", "nRightarrow": "⇏", "rightarrowtail": "↣", "upuparrows": "⇈", "Lleftarrow": "⇚", "leftharpoondown": "↽", "nless": "≮", "nsimeq": "≄", "nvDash": "⊭", "AA": "Å", "rightarrow": "→"}
+    assert {n: mathsigns.SYMBOLS[n] for n in names} == names
+    assert M.canonical("\\rightarrow") == "\\to" and mathsigns.SPELLING["⊭"] == "\\nvDash"
+
+
+@pytest.mark.parametrize(("pair", "latex"), [("\u27e8\u27e9", "\\left\\langle x\\right\\rangle"), ("\u3008\u3009", "\\left\\langle x\\right\\rangle"), ("\u2329\u232a", "\\left\\langle x\\right\\rangle"), ("\u23a1\u23a6", "\\left[x\\right]")])
+def test_delimiters_of_equations(pair, latex):
+    node, _ = M.parse("\\left(x\\right)")
+    xml = omml.to_xml(node).replace('val="("', f'val="{pair[0]}"').replace('val=")"', f'val="{pair[1]}"')
+    assert M.spell(omml.from_xml(xml)) == latex and M.canonical(latex) == latex
