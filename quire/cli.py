@@ -88,9 +88,19 @@ def _save(rows: DataFrame, value: str, target: str) -> dict:
     return {"documents": 1, "failed": 0, "target": target}
 
 
-def to_word(spark: SparkSession, source: str, target: str) -> dict:
-    """Word documents of LaTeX files."""
-    return _save(word.word_documents(files.latex_files(spark, source), KEYS, "text"), "content", target)
+def to_word(spark: SparkSession, source: str, target: str, template: str | None = None) -> dict:
+    """Word documents of LaTeX files, formatted as a template is."""
+    look = None
+    if template:
+        found = files.package_files(spark, template).limit(2).collect()
+        if len(found) != 1:
+            raise CommandError("not-one-document", f"{template} isn't one Word document")
+        look = bytes(found[0]["content"])
+    try:
+        rows = word.word_documents(files.latex_files(spark, source), KEYS, "text", look)
+    except (ValueError, *word.BROKEN) as e:
+        raise CommandError("template", f"{template}: {e}") from e
+    return _save(rows, "content", target)
 
 
 def to_latex(spark: SparkSession, source: str, target: str) -> dict:
@@ -209,6 +219,7 @@ def parser() -> argparse.ArgumentParser:
         one = of.add_parser(name, help=function.__doc__)
         for a in arguments:
             one.add_argument(a)
+    of.choices["to-word"].add_argument("--template", help="a Word document that formats the others")
     return top
 
 
@@ -230,7 +241,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         with progress.stage("session"):
             spark = spark or SparkSession.builder.appName("quire").getOrCreate()
         with progress.stage(args.command):
-            result = function(spark, *(getattr(args, a) for a in arguments))
+            options = {"template": args.template} if args.command == "to-word" else {}
+            result = function(spark, *(getattr(args, a) for a in arguments), **options)
     except CommandError as e:
         return failed(e.code, str(e), 2)
     except PySparkException as e:

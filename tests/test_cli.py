@@ -5,6 +5,7 @@ import json
 import pytest
 
 from quire import cli
+from quire.sources import word, wordxml
 
 TEX = "\\documentclass{article}\n\\begin{document}\n\\section{One}\n\nFirst paragraph.\n\nSecond with $x^2$.\n\\end{document}\n"
 
@@ -68,3 +69,21 @@ def test_folders_give_tables(spark, tmp_path, capsys):
 def test_failures_have_a_code(spark, tmp_path, capsys, argv):
     status, told = run(spark, capsys, *(a.format(t=tmp_path) for a in argv))
     assert status == 2 and told["ok"] is False and told["error"]["category"]
+
+
+def test_template_formats_and_its_text_goes(spark, tmp_path, capsys):
+    look = wordxml.parts_of(word.package("Old text.\\footnote{Old note.}"))
+    look["word/styles.xml"] = b'<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:style w:styleId="Own"/></w:styles>'
+    kind = wordxml.KINDS + "styles"
+    look[wordxml.RELS] = look[wordxml.RELS].replace(b"</", f'<Relationship xmlns="{wordxml.REL.strip("{}")}" Id="rId90" Type="{kind}" Target="styles.xml"/></'.encode(), 1)
+    look[wordxml.MAIN] = look[wordxml.MAIN].replace(b"</w:body>", b'<w:sectPr><w:cols w:num="2"/></w:sectPr></w:body>') if b"</w:body>" in look[wordxml.MAIN] else look[wordxml.MAIN].replace(b"</ns0:body>", b'<ns0:sectPr><ns0:cols ns0:num="2"/></ns0:sectPr></ns0:body>')
+    (tmp_path / "look.docx").write_bytes(wordxml.zipped(look))
+    (tmp_path / "a.tex").write_text(TEX.replace("First paragraph.", "First.\\footnote{New note.}"))
+    assert run(spark, capsys, "to-word", tmp_path / "a.tex", tmp_path / "a.docx", "--template", tmp_path / "look.docx")[0] == 0
+    made = wordxml.parts_of((tmp_path / "a.docx").read_bytes())
+    assert b"Own" in made["word/styles.xml"] and b"cols" in made[wordxml.MAIN] and b"Old" not in b"".join(made.values())
+    assert b"New note" in made["word/footnotes.xml"] and all(f"/{t.get('PartName')}".lstrip("/") in made for t in wordxml._tree(made, "[Content_Types].xml") if t.get("PartName"))
+    plain = "".join(r.latex for r in word.word_latex(spark.createDataFrame([(1, bytearray((tmp_path / "a.docx").read_bytes()))], "k int, c binary"), ["k"], "c").collect())
+    assert "New note." in plain and "x^{2}" in plain
+    (tmp_path / "look.docx").write_bytes(b"no package")
+    assert run(spark, capsys, "to-word", tmp_path / "a.tex", tmp_path / "b.docx", "--template", tmp_path / "look.docx")[1]["error"]["category"] == "template"
