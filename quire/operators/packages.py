@@ -1,19 +1,13 @@
-"""Integrity of document packages: every rule is a filter or an anti-join that gives issue rows."""
+"""Integrity of document packages: every rule counts what the facts of a package say about a name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import unbalanced
 from .joins import closure_within
 
 
-def _issue(rows: DataFrame, keys: list[str], part, code: str, detail) -> DataFrame:
-    as_col = lambda x: F.lit(x) if isinstance(x, str) and x.startswith("=") else F.col(x) if isinstance(x, str) else x
-    return rows.select(*keys, as_col(part).alias("part"), F.lit(code).alias("code"), as_col(detail).alias("detail"))
-
-
 def part_types(parts: DataFrame, types: DataFrame, keys: list[str]) -> DataFrame:
     """parts with content_type: the override, else the default of the extension, else null."""
     one = lambda kind: types.filter(F.col("kind") == kind).groupBy(*keys, "name").agg(F.min_by("content_type", "ord").alias(kind))
@@ -22,37 +16,78 @@ def part_types(parts: DataFrame, types: DataFrame, keys: list[str]) -> DataFrame
     return rows.withColumn("content_type", F.coalesce("override", "default")).drop("override", "default")
 
 
+#: Kinds of marks that are defined once in a part and referred to.
+_DEFINED = ("style", "abstract", "num", "footnote", "endnote", "comment")
+_TYPED = "[Content_Types].xml"
+
+
+def _claims(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """What every fact says about a name: (space, at, name) is what it is about, role what it says, (of, code, detail) the issue that comes of it if that isn't so."""
+    c, none = F.col, F.lit(None).cast("string")
+    part, type_, rel, mark = (c("fact") == x for x in ("part", "type", "rel", "mark"))
+    whole = part & c("error").isNull()
+    default, override, bookmark = c("kind") == "default", c("kind") == "override", c("kind").startswith("bookmark-")
+    defined, kind, inner = c("kind").isin(*_DEFINED), F.regexp_replace("kind", "-ref$", ""), rel & ~c("external")
+    refers = c("kind").isin(*[f"{k}-ref" for k in _DEFINED]) & ~((c("kind") == "num-ref") & F.coalesce(c("id") == "0", F.lit(True)))
+    extension = F.when(c("part").contains("."), F.lower(F.substring_index("part", ".", -1))).otherwise("")
+
+    def claim(when, role, space, name, code=none, detail=none, of=c("part"), at=none):
+        columns = {"role": role, "space": space, "at": at, "name": name, "of": of, "code": code, "detail": detail}
+        return F.when(when, F.struct(*[(F.lit(x) if isinstance(x, str) else x).alias(k) for k, x in columns.items()]))
+
+    made = [
+        claim(part & c("error").isNotNull(), "wrong", none, none, "broken", c("error")),
+        claim(part, "types", none, none, "missing", F.lit("content types"), F.lit(_TYPED)),
+        claim(whole, "is", "part", c("part")),
+        claim(whole & (c("part") != _TYPED), "typed", "override", c("part"), "missing-content-type", extension),
+        claim(type_ & override, "referred", "part", c("name"), "missing-part", c("name"), F.lit(_TYPED)),
+        claim(type_ & override, "is", "override", c("name"), detail=c("content_type")),
+        claim(type_ & default, "default", none, none, detail=c("name")),
+        claim(type_ & (default | override), "once", F.concat(F.lit("one "), c("kind")), c("name"), F.concat(F.lit("duplicate-"), c("kind")), c("name"), F.lit(_TYPED)),
+        claim(rel & (c("source") != ""), "referred", "part", c("source"), "missing-source", c("source")),
+        claim(rel & (c("rid") == ""), "wrong", none, none, "relationship-id", F.lit("empty")),
+        claim(rel & (c("rid") != ""), "once", "one relationship", c("rid"), "duplicate-relationship-id", c("rid"), at=c("part")),
+        claim(inner & c("resolved").isNull(), "wrong", none, none, "invalid-target", c("target")),
+        claim(inner & c("resolved").isNotNull(), "referred", "part", c("resolved"), "missing-target", c("resolved")),
+        claim(rel, "is", "relationship", c("rid"), at=c("source")),
+        claim(mark & (c("kind") == "rel-ref"), "referred", "relationship", c("id"), "missing-relationship-reference", F.concat_ws("=", "detail", "id"), at=c("part")),
+        claim(mark & refers, "referred", kind, c("id"), F.concat(F.lit("missing-"), kind), c("id")),
+        claim(mark & defined, "is", kind, c("id")),
+        claim(mark & defined, "once", F.concat(F.lit("one "), kind), c("id"), F.concat(F.lit("duplicate-"), kind, F.lit("-id")), c("id"), at=c("part")),
+        claim(mark & bookmark, F.substring_index("kind", "-", -1), "bookmark", c("id"), "unbalanced-bookmark", c("id"), at=c("part")),
+        claim(mark & (c("kind") == "invalid-xml"), "wrong", none, none, "invalid-xml", c("id")),
+    ]
+    return facts.select(*keys, F.inline(F.array_compact(F.array(*made))))
+
+
+def package_issues(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, part, code, detail) of everything wrong with packages, from all facts about them: they are read once and shuffled once, by package; the rules are counts over a name's claims."""
+    claims = _claims(facts, keys).repartition(*keys)
+    name, role = Window.partitionBy(*keys, "space", "at", "name"), F.col("role")
+    count = lambda r, over: F.count_if(role == r).over(over)
+    rows = claims.withColumns({f"n_{r}": count(r, name) for r in ("is", "once", "start", "end")})
+    rows = rows.withColumn("n_types", F.count_if((role == "default") | ((role == "is") & (F.col("space") == "override"))).over(Window.partitionBy(*keys)))
+    rows = rows.withColumn("extension", F.when(role.isin("default", "typed"), F.col("detail")))
+    rows = rows.withColumn("n_default", count("default", Window.partitionBy(*keys, "extension")))
+    wrong = (
+        F.when(role == "wrong", True).when(role == "types", F.col("n_types") == 0)
+        .when(role == "referred", F.col("name").isNull() | (F.col("n_is") == 0))
+        .when(role == "typed", (F.col("n_is") == 0) & (F.col("n_default") == 0) & (F.col("n_types") > 0))
+        .when(role == "once", F.col("n_once") > 1).when(role.isin("start", "end"), (F.col("n_start") != 1) | (F.col("n_end") != 1))
+    )
+    single = role.isin("types", "once", "start", "end") | (F.col("code") == "missing-source")
+    found = rows.filter(wrong).select(*keys, F.col("of").alias("part"), "code", "detail", F.when(~single, F.monotonically_increasing_id()).alias("row"))
+    return found.dropDuplicates([*keys, "part", "code", "detail", "row"]).drop("row")
+
+
 def issues(parts: DataFrame, types: DataFrame, rels: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, part, code, detail) of everything wrong with packages."""
-    names = parts.filter("error is null").select(*keys, F.col("part").alias("name")).distinct()
-    typed = F.lit("[Content_Types].xml")
-    out = [_issue(parts.filter("error is not null"), keys, "part", "broken", "error")]
-    no_types = parts.select(*keys).distinct().join(types.select(*keys).distinct(), keys, "left_anti")
-    out.append(_issue(no_types, keys, typed, "missing", F.lit("content types")))
-    twice = types.groupBy(*keys, "kind", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out += [_issue(twice.filter(F.col("kind") == k), keys, typed, f"duplicate-{k}", "name") for k in ("default", "override")]
-    out.append(_issue(types.filter("kind = 'override'").join(names, [*keys, "name"], "left_anti"), keys, typed, "missing-part", "name"))
-    untyped = part_types(parts.filter("error is null and part <> '[Content_Types].xml'").select(*keys, "part"), types, keys).filter("content_type is null")
-    out.append(_issue(untyped.join(no_types, keys, "left_anti"), keys, "part", "missing-content-type", "extension"))
-    out.append(_issue(rels.filter("source <> ''").join(names.withColumnRenamed("name", "source"), [*keys, "source"], "left_anti").select(*keys, "part", "source").distinct(), keys, "part", "missing-source", "source"))
-    out.append(_issue(rels.filter("rid = ''"), keys, "part", "relationship-id", F.lit("empty")))
-    out.append(_issue(rels.filter("rid <> ''").groupBy(*keys, "part", "rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), keys, "part", "duplicate-relationship-id", "rid"))
-    inner = rels.filter("not external")
-    out.append(_issue(inner.filter("resolved is null"), keys, "part", "invalid-target", "target"))
-    out.append(_issue(inner.filter("resolved is not null").join(names.withColumnRenamed("name", "resolved"), [*keys, "resolved"], "left_anti"), keys, "part", "missing-target", "resolved"))
-    known = rels.select(*keys, F.col("source").alias("part"), F.col("rid").alias("id")).distinct()
-    out.append(_issue(marks.filter("kind = 'rel-ref'").join(known, [*keys, "part", "id"], "left_anti"), keys, "part", "missing-relationship-reference", F.concat_ws("=", "detail", "id")))
-    for kind in ("style", "abstract", "num", "footnote", "endnote", "comment"):
-        have, refs = marks.filter(F.col("kind") == kind), marks.filter((F.col("kind") == f"{kind}-ref") & ~((F.lit(kind) == "num") & (F.col("id") == "0")))
-        out.append(_issue(refs.join(have.select(*keys, "id").distinct(), [*keys, "id"], "left_anti"), keys, "part", f"missing-{kind}", "id"))
-        out.append(_issue(have.groupBy(*keys, "part", "id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), keys, "part", f"duplicate-{kind}-id", "id"))
-    pairs = marks.filter("kind like 'bookmark-%'").withColumn("kind", F.substring_index("kind", "-", -1))
-    out.append(_issue(unbalanced(pairs, [*keys, "part", "id"], "kind"), keys, "part", "unbalanced-bookmark", "id"))
-    out.append(_issue(marks.filter("kind = 'invalid-xml'"), keys, "part", "invalid-xml", "id"))
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every
+    """The issues of packages whose facts are in tables of their own; from the parts alone, package_issues of files.facts reads each part once."""
+    tables = (("part", parts, ["part", "error"]), ("type", types, ["kind", "name", "content_type"]), ("rel", rels, ["part", "source", "rid", "target", "external", "resolved"]), ("mark", marks, ["part", "kind", "id", "detail"]))
+    every = None
+    for fact, table, columns in tables:
+        rows = table.select(*keys, F.lit(fact).alias("fact"), *columns)
+        every = rows if every is None else every.unionByName(rows, allowMissingColumns=True)
+    return package_issues(every, keys)
 
 
 def note_texts(marks: DataFrame, kind: str, keys: list[str]) -> DataFrame:

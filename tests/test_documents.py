@@ -91,6 +91,33 @@ def test_packages(spark, tmp_path):
     assert files.package_files(spark, str(tmp_path)).count() == 1 and files.latex_files(spark, str(tmp_path)).first()["text"] == "x\ny"
 
 
+def test_issues_read_every_package_once(spark, sf_dir):
+    from quire.plans import documents as plans
+
+    plan = plans.QUERIES["package_issues"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("Exchange") == 2  # written, unpacked, facts; orders and facts by document
+
+
+def test_issues_of_odd_packages(spark):
+    """Issues come as often as their references, those about a name once; the same from facts and from tables."""
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{}</Relationships>'
+    types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="XML" ContentType="a"/><Default Extension="xml" ContentType="b"/><Default Extension="rels" ContentType="r"/><Override PartName="/x.xml" ContentType="c"/><Override PartName="/x.xml" ContentType="d"/><Override PartName="/y.bin" ContentType=""/></Types>'
+    notes = f'<w:footnotes {W}><w:footnote w:id="2"/><w:footnote w:id="2"/><w:footnoteReference w:id="9"/><w:footnoteReference w:id="9"/><w:numId w:val="0"/><w:numId/><w:bookmarkStart w:id="1"/><w:bookmarkStart w:id="1"/><w:bookmarkEnd w:id="1"/></w:footnotes>'
+    extra = {"[Content_Types].xml": types, "y.bin": "", "z.bin": "", "_rels/.rels": rels.format('<Relationship Id="" Target="q"/><Relationship Id="a" Target="q"/><Relationship Id="a" Target="../up"/>'), "v/_rels/d.xml.rels": rels.format('<Relationship Id="a" Target="d.xml"/><Relationship Id="b" Target="d.xml"/>'), "word/footnotes.xml": notes}
+    table = files.parts(spark.createDataFrame([("p", package(extra, ["word/media/a.png"])), ("q", package(drop=["[Content_Types].xml"]))], "path string, content binary"), ["path"])
+    got = [tuple(r)[1:] for r in P.package_issues(files.facts(table, ["path"]), ["path"]).filter("path = 'p'").collect()]
+    typed = "[Content_Types].xml"
+    assert sorted(got) == sorted([
+        *[(typed, "missing-part", "x.xml")] * 2, (typed, "duplicate-override", "x.xml"), (typed, "duplicate-default", "xml"), ("z.bin", "missing-content-type", "bin"),
+        ("_rels/.rels", "relationship-id", "empty"), ("_rels/.rels", "duplicate-relationship-id", "a"), *[("_rels/.rels", "missing-target", "q")] * 2, ("_rels/.rels", "invalid-target", "../up"),
+        ("v/_rels/d.xml.rels", "missing-source", "v/d.xml"), *[("v/_rels/d.xml.rels", "missing-target", "v/d.xml")] * 2, ("word/_rels/document.xml.rels", "missing-target", "word/media/a.png"),
+        ("word/footnotes.xml", "duplicate-footnote-id", "2"), *[("word/footnotes.xml", "missing-footnote", "9")] * 2, ("word/footnotes.xml", "unbalanced-bookmark", "1"),
+    ])
+    assert [tuple(r) for r in P.package_issues(files.facts(table, ["path"]), ["path"]).filter("path = 'q'").collect()] == [("q", typed, "missing", "content types")]
+    again = P.issues(table, files.content_types(table, ["path"]), files.relationships(table, ["path"]), files.marks(table, ["path"]), ["path"]).filter("path = 'p'").collect()
+    assert sorted(tuple(r)[1:] for r in again) == sorted(got)
+
+
 def test_alignment():
     """Operations give back both sides; what is equal is equal; unique values in order are all found."""
     import random
