@@ -1,13 +1,15 @@
 """Connected components of an edge table.
 
-Each task first contracts its edges to stars; edges are dealt by both ends, so a node with very
-many of them is spread. If SMALL edges at most remain, one task finishes
+Each task first contracts the edges it reads to stars, wherever they lie: nothing is shuffled for
+that, and a task holds HELD nodes at most. If SMALL edges at most remain, one task finishes
 them; else nodes are hung on least neighbours in alternating star rounds until nothing changes,
 so no task ever holds more than a share of the edges, or SMALL of them.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ from .common import stage
 
 
 SMALL = 200_000
+#: Nodes of a union-find; SMALL edges have no more.
+HELD = 400_000
 
 
-def _contract(batches):
-    """Edges of one task to stars of its own union-find; memory follows the task's edges."""
+def _contract(batches, roots: bool = False):
+    """Edges of one task to stars of its own union-find, of each HELD nodes. roots: the stars' centres are rows too."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -27,13 +31,19 @@ def _contract(batches):
             parent[x] = x = parent[p]
         return x
 
+    def stars() -> pa.RecordBatch:
+        pairs = [(v, r) for v in parent if (r := root(v)) != v or roots]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
     for batch in batches:
+        if len(parent) > HELD:
+            yield stars()
+            parent.clear()
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(v, r) for v in parent if (r := root(v)) != v]
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    yield stars()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -48,17 +58,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) of every node that an edge touches but the roots themselves; root: the component's least node."""
+def components(edges: DataFrame, a: str, b: str, roots: bool = False) -> DataFrame:
+    """(node, root) of every node that an edge touches; root: the component's least node. The roots themselves have a row if roots is set."""
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    now = stage(pairs.repartition("u", "v").mapInArrow(_contract, "u long, v long"), "cc")
+    now = stage(pairs.mapInArrow(_contract, "u long, v long"), "cc")
     if now.count() <= SMALL:
-        now = stage(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "cc")
+        now = stage(now.coalesce(1).mapInArrow(partial(_contract, roots=roots), "u long, v long"), "cc")
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     while True:
         now = stage(_star(stage(_star(now, True), "cc"), False), "cc")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == mark:
+            now = now.unionByName(now.select(F.col("v").alias("u"), "v").distinct()) if roots else now
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(new)

@@ -16,7 +16,7 @@ Links are found in passes, as only the components matter:
    meet, and every pair of its classes in different components is checked. A region of over REGION
    classes is read deeper here, each part of it at the depth where it has so few;
 3. what is left of large regions: those with classes of more than one component still are compared
-   in full, cut into blocks.
+   in full, cut into blocks. Components of one family have met in full and don't meet again.
 
 A group with more than REGION classes or FAMILY_BYTES of text is cut into blocks that meet in
 pairs. A component with more classes than a block has blocks of its own, which need not meet each
@@ -160,16 +160,16 @@ def _joined(labels: np.ndarray):
 
 
 def _candidates(batches, least: float):
-    """Sorted rows (key, rep, label, marks, side) of regions: pairs of labels, as few as join all that have a pair of classes with a good estimate. side: -1, or the block of a cut region."""
+    """Sorted rows (key, rep, label, marks, apart, side) of regions: pairs of labels, as few as join all that have a pair of classes of different apart with a good estimate. side: -1, or the block of a cut region."""
     for g in _groups(batches):
-        label = g.column(2).to_numpy()
-        if (label == label[0]).all():
+        label, apart = g.column(2).to_numpy(), g.column(4).to_numpy()
+        if (apart == apart[0]).all():
             continue
-        marks, side = _marks(g.column(3)), g.column(4).to_numpy()
+        marks, side = _marks(g.column(3)), g.column(5).to_numpy()
         roots, join = _joined(label)
         root, a, b = roots(), [], []
         for i in range(len(label) - 1):
-            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (apart[i + 1 :] != apart[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0)))
             if len(j):
                 j = j[_estimate(marks[i], marks[j]) >= least]
                 _, first = np.unique(root[j], return_index=True)
@@ -255,31 +255,32 @@ def _labelled(links: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     return rows.join(links.select(F.col("node").alias(id_col), "root"), id_col, "left").withColumn("label", F.coalesce("root", id_col)).drop("root")
 
 
-def _blocked(rows: DataFrame, *keep: str) -> DataFrame:
+def _blocked(rows: DataFrame, *keep: str, apart: str = "label") -> DataFrame:
     """Rows (key, rep, label, size, keep) to rows (key, rep, label, keep, side): large groups cut into blocks of about half a group that meet in pairs, with a key for each pair.
 
-    A label with more than a block has blocks of its own; the others share blocks, each label in one. Two blocks meet unless both are of one label; side tells the blocks of a pair apart, -1 stands for a group or block whose rows all meet."""
+    A label with more than a block has blocks of its own; the others share blocks, each label in one. Two blocks meet unless both are of one label, or of labels that have one value of apart; groups with one such value are left out. side tells the blocks of a pair apart, -1 stands for a group or block whose rows all meet."""
     half, whole = REGION // 2, F.lit(float(FAMILY_BYTES))
-    labels = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    labels = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min(apart).alias("apart"))
     labels = labels.withColumn("need", F.greatest(F.col("n") / half, F.col("bytes") * 2 / whole))
-    groups = labels.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_labels"), F.sum(F.when(F.col("need") <= 1, F.col("need")).otherwise(0)).alias("shared"))
-    groups = groups.filter("n_labels > 1").withColumn("large", (F.col("n") > REGION) | (F.col("bytes") > whole))
-    groups = stage(groups.select("key", "large", F.greatest(F.lit(1), F.ceil("shared")).alias("shared")), "mh-groups")
+    own = F.collect_list(F.when(F.col("need") > 1, F.struct("label", "apart", F.ceil("need").cast("int").alias("nb"))))
+    groups = labels.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("apart").alias("l0"), F.max("apart").alias("l1"), F.sum(F.when(F.col("need") <= 1, F.col("need")).otherwise(0)).alias("shared"), own.alias("own"))
+    groups = groups.filter("l0 <> l1").withColumn("large", (F.col("n") > REGION) | (F.col("bytes") > whole))
+    groups = stage(groups.select("key", "large", F.ceil("shared").cast("int").alias("shared"), "own"), "mh-groups")
     small = rows.join(groups.filter("not large").select("key"), "key").select("key", "rep", "label", *keep, F.lit(-1).alias("side"))
-    if groups.filter("large").isEmpty():
+    big = groups.filter("large")
+    if big.isEmpty():
         return small
-    own = labels.join(groups.filter("large").select("key", "shared"), "key").withColumn("own", F.col("need") > 1)
-    own = stage(own.select("key", "label", "own", F.when(F.col("own"), F.ceil("need")).otherwise(F.col("shared")).cast("int").alias("nb")), "mh-labels")
-    named = lambda t: t.withColumn("block", F.concat_ws(":", F.when(F.col("own"), F.col("label").cast("string")).otherwise(F.lit("shared")), "number"))
-    numbers = F.when(F.col("own"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.pmod(F.xxhash64("label"), F.col("nb")).cast("int")))
-    every = named(own.withColumn("number", F.explode(numbers))).select("key", F.when(F.col("own"), F.col("label")).alias("of"), "block").distinct()
-    x, y = (every.select("key", F.col("of").alias(f"of_{k}"), F.col("block").alias(k)) for k in "xy")
-    meet = x.join(y, "key").filter("x <= y and (of_x is null or of_y is null or of_x <> of_y)").select("key", "x", "y", F.xxhash64("key", "x", "y").alias("pair"))
-    meet = stage(meet, "mh-meet")
+    numbered = lambda name, of, nb: F.transform(F.sequence(F.lit(1), nb), lambda k: F.struct(of.alias("of"), F.concat_ws(":", name, k - 1).alias("block")))
+    shared = F.when(F.col("shared") > 0, numbered(F.lit("shared"), F.lit(None).cast("long"), F.col("shared"))).otherwise(F.array())
+    every = big.select("key", F.concat(shared, F.flatten(F.transform("own", lambda o: numbered(o["label"].cast("string"), o["apart"], o["nb"])))).alias("blocks"))
+    meet = every.select("key", "blocks", F.explode("blocks").alias("x")).select("key", "x", F.explode("blocks").alias("y"))
+    meet = meet.filter("x.block <= y.block and (x.of is null or y.of is null or x.of <> y.of)").select("key", F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    meet = stage(meet.withColumn("pair", F.xxhash64("key", "x", "y")), "mh-meet")
     sides = meet.select("key", F.col("x").alias("block"), "pair", F.when(F.col("x") == F.col("y"), -1).otherwise(0).alias("side"))
     sides = sides.unionByName(meet.filter("x <> y").select("key", F.col("y").alias("block"), "pair", F.lit(1).alias("side")))
-    number = F.when(F.col("own"), F.pmod(F.xxhash64("rep"), F.col("nb"))).otherwise(F.pmod(F.xxhash64("label"), F.col("nb"))).cast("int")
-    dealt = named(rows.join(own, ["key", "label"]).withColumn("number", number))
+    dealt = rows.join(big.select("key", "shared"), "key").join(big.select("key", F.inline("own")).drop("apart"), ["key", "label"], "left")
+    number = F.coalesce(F.pmod(F.xxhash64("rep"), "nb"), F.pmod(F.xxhash64("label"), F.greatest("shared", F.lit(1))))
+    dealt = dealt.withColumn("block", F.concat_ws(":", F.when(F.col("nb").isNotNull(), F.col("label").cast("string")).otherwise(F.lit("shared")), number))
     large = dealt.join(sides, ["key", "block"]).select(F.col("pair").alias("key"), "rep", "label", *keep, "side")
     return small.unionByName(large)
 
@@ -299,15 +300,16 @@ def _deeper(rows: DataFrame, big: DataFrame) -> DataFrame:
     return done
 
 
-def _links(rows: DataFrame, texts: DataFrame, roots: DataFrame, touched: DataFrame, words: int, percent: int, least: float) -> DataFrame:
-    """Links (a, b) between the components of classes that meet in rows (key, rep, label, marks, side): candidates by estimate, their families, and these confirmed on full sets."""
+def _links(rows: DataFrame, texts: DataFrame, roots: DataFrame, touched: DataFrame, words: int, percent: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the components of classes that meet in rows (key, rep, label, marks, apart, side): candidates by estimate, their families, and these confirmed on full sets. Also the families (label, key): labels of one have met in full."""
     rows = rows.repartition("key").sortWithinPartitions("key")
-    pairs = stage(rows.mapInArrow(partial(_candidates, least=least), "a long, b long").distinct(), "mh-candidates")
-    family = components(pairs, "a", "b")
-    family = stage(family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("label"), F.col("root").alias("key")), "mh-families")
+    pairs = stage(rows.mapInArrow(partial(_candidates, least=least), "a long, b long"), "mh-candidates")
+    if pairs.isEmpty():
+        return pairs, pairs.toDF("label", "key")
+    family = components(pairs, "a", "b", roots=True).select(F.col("node").alias("label"), F.col("root").alias("key"))
     members = stage(_labelled(roots, touched, "rep").join(family, "label").select("key", "rep", "label", "size"), "mh-members")
     rows = _blocked(members).join(texts, "rep").select("key", "rep", "label", "q_text", "side").repartition("key").sortWithinPartitions("key")
-    return stage(rows.mapInArrow(partial(_family_links, words=words, percent=percent), "a long, b long"), "mh-links")
+    return stage(rows.mapInArrow(partial(_family_links, words=words, percent=percent), "a long, b long"), "mh-links"), family
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -328,9 +330,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     order = ["prefix", "tail", "rep"]
     near = regions.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(partial(_neighbours, least=least), "a long, b long, score double")
-    near = stage(near.distinct(), "mh-near")
-    offers = near.select(F.col("a").alias("x"), "a", "b", "score").unionByName(near.select(F.col("b").alias("x"), "a", "b", "score"))
-    first = offers.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    offers = near.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "score")
+    first = stage(offers.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "mh-near")
 
     seen = stage(regions.select("rep").distinct(), "mh-touched")
     with settings(spark, BLOOM):
@@ -348,17 +349,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     sizes = stage(sizes.filter("l0 <> l1").select("key", "m"), "mh-sizes")
     big = sizes.filter(F.col("m") > REGION)
-    flat = lambda t: t.select("key", "rep", "label", "marks", F.lit(-1).alias("side"))
+    flat = lambda t: t.select("key", "rep", "label", "marks", F.col("label").alias("apart"), F.lit(-1).alias("side"))
     rows, large = flat(labelled.join(sizes.filter(F.col("m") <= REGION).select("key"), "key")), not big.isEmpty()
     if large:
         rows = rows.unionByName(flat(_deeper(labelled, big)))
-    more = _links(rows, texts, roots, touched, words, percent, least)
+    more, family = _links(rows, texts, roots, touched, words, percent, least)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links, "a", "b")
     if large:
-        left = stage(_labelled(roots, regions.withColumnRenamed("prefix", "key").join(big.select("key"), "key"), "rep").withColumn("size", F.lit(0)), "mh-labelled")
-        more = _links(_blocked(left, "marks"), texts, roots, touched, words, percent, least)
+        left = _labelled(roots, regions.withColumnRenamed("prefix", "key").join(big.select("key"), "key"), "rep").withColumn("size", F.lit(0))
+        left = left.join(family.withColumnRenamed("key", "apart"), "label", "left").withColumn("apart", F.coalesce("apart", "label"))
+        more, _ = _links(_blocked(stage(left, "mh-labelled"), "marks", "apart", apart="apart"), texts, roots, touched, words, percent, least)
         if not more.isEmpty():
             roots = components(links.unionByName(more), "a", "b")
     known = classes.select("class", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("class", "rep", F.coalesce("root", "rep").alias("root"))
